@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import jaccard, mixing, tokencount
 
 
 def queries() -> dict:
-    return {"op1_mix_sources": mixing.op1_mix_sources}
+    return {
+        "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_token_counts": tokencount.op2_token_counts,
+        "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op3_ngram_jaccard": jaccard.OP3_SQL}
