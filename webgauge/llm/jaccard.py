@@ -10,10 +10,13 @@ windows, in these steps:
    random tell nothing, so the pivots are chosen by content.  Order the shingles
    of the corpus by any fixed rule; two sets within 1/4 share one of their first
    ``n // 4 + 1`` shingles each.  For each shingle, the least class that has it
-   among its first ones is a pivot, and all that have it belong to the pivot's
-   region: a document goes to its own region and is replicated into the others
-   that it borders on.  Thus each pair within 1/4 meets in a region, whatever
-   the order; the order (rare shingles first) only keeps regions small.
+   among its first ones leads a region, and all that have it so belong to it: a
+   document goes to its own region and is replicated into the others that it
+   borders on.  Thus each pair within 1/4 meets in a region, whatever the order;
+   the order (rare shingles first) only keeps regions small.  Such a pair also
+   shares an eighth or so of a prefix half as long again, so a class with fewer
+   shared shingles there has no partner and leaves.  The least class that is left
+   in a region is its pivot.
 3. Each region is dealt out in chunks, with the pivot in each, and the distance
    of every member to the pivot is computed exactly.  Members within 1/4 link to it.
 4. Window.  Of a region there remain the members that did not link, and those that
@@ -30,9 +33,9 @@ Order of shingles: those seen in several documents of one task are counted over
 the corpus; the ``ORDER_SIZE`` most frequent go last, by magnitude of their count,
 and the rest by hash.  This table has a fixed size limit and changes no result.
 
-Plan: three scans of the texts; shuffled are eight bytes for each of the first
-shingles with their class (packed, dealt by hash), and the sets of those classes
-alone that share a first shingle with another one.
+Plan: three scans of the texts; shuffled are ten bytes for each shingle of the
+prefixes (packed, dealt by hash, one a slice), and the sets of those classes alone
+that may have a partner.
 
 Edge cases: null texts and texts without words are empty, link with nothing and
 are their own component; fewer than five words form one shingle; rows repeated in
@@ -70,9 +73,17 @@ def set_id(s: np.ndarray) -> int:
     return int(K.mix(K.mix(both[:1]) ^ K.mix(both[1:2] + both[2:])).view(np.int64)[0])
 
 
-def prefix_length(n: int) -> int:
-    """First shingles of which two sets within distance 1/4 share one."""
-    return n - -(-3 * n // 4) + 1
+def prefix_lengths(n: int) -> tuple[int, int]:
+    """(first, long): two sets within distance 1/4 share one of their ``first`` least
+    shingles, and ``shared_least`` of their ``long`` least ones."""
+    apart = n - -(-3 * n // 4)  # so many members may be missing from the other set
+    return apart + 1, min(n, apart + max(1, n // 8))
+
+
+def shared_least(n):
+    """How many of its ``long`` least shingles a set of n members has in common with any
+    set within 1/4: that set has 3/4 n members at least, and the smaller prefix decides."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(3 * n / 4) / 8))
 
 
 def _binary(x: np.ndarray) -> bytes:
@@ -151,36 +162,59 @@ def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return v[order], c[order]
 
 
-_LEADS = pa.schema([("part", pa.int64()), ("shingles", pa.binary()), ("ids", pa.binary())])
+_LEADS = pa.schema([("part", pa.int64()), ("shingles", pa.binary()), ("owners", pa.binary()), ("ids", pa.binary()), ("members", pa.binary()), ("regions", pa.binary()), ("counts", pa.binary())])
+FIRST, COUNTED = np.uint64(1), np.uint64(2)
+_FLAGS = np.uint64(3)
+
+
+def _leads(s: np.ndarray, who: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows sorted by shingle: whether its shingle has several rows, where its run starts,
+    and the least id among the run's ``first`` rows (or the largest long)."""
+    new = np.concatenate(([True], s[1:] != s[:-1]))
+    run = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    lengths = np.diff(np.append(starts, len(s)))
+    least = np.minimum.reduceat(np.where(first, who, np.iinfo(np.int64).max), starts)
+    return (lengths > 1)[run], starts, least[run]
 
 
 def _first_shingles(parts: int, shared):
-    """Documents -> packed (shingle, class) rows by part of the hash space (part >= 0), and
-    (class, local pivot) rows for classes that meet within the slice (part -1)."""
+    """Documents -> packed rows by part of the hash space: the long prefixes' shingles, of
+    which one a slice is sent on, with two flags in the low bits (in the first prefix;
+    already known to be shared), and what has met within the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, magnitude = shared.value
         shingles: list[np.ndarray] = []
         owners: list[int] = []
+        firsts: list[int] = []
         seen: set[int] = set()
-        size = 0
+        size = turn = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not shingles:
                 return
-            s = np.concatenate(shingles)
-            who = np.repeat(np.array(owners, np.int64), [len(x) for x in shingles])
-            order = np.lexsort((who, s))
-            s, who = s[order], who[order]
-            first = np.concatenate(([True], s[1:] != s[:-1]))
-            lead = who[first][np.cumsum(first) - 1]
-            met = lead != who
-            if met.any():
-                pairs = np.unique(np.stack([who[met], lead[met]], 1), axis=0)
-                yield pa.RecordBatch.from_pydict({"part": [-1], "shingles": [_binary(pairs[:, 0])], "ids": [_binary(pairs[:, 1])]}, schema=_LEADS)
-            s, who = s[first], who[first]
-            for k, (v, w) in split_by((s % np.uint64(parts)).astype(np.int64), parts, s, who):
-                yield pa.RecordBatch.from_pydict({"part": [k], "shingles": [_binary(v)], "ids": [_binary(w)]}, schema=_LEADS)
+            ids = np.array(owners, np.int64)
+            lengths = [len(x) for x in shingles]
+            s = np.concatenate(shingles) & ~_FLAGS
+            who = np.repeat(np.arange(len(ids)), lengths)
+            rank = np.arange(len(s)) - np.repeat(np.cumsum([0, *lengths[:-1]]), lengths)
+            first = rank < np.repeat(np.array(firsts), lengths)
+            order = np.lexsort((ids[who], ~first, s))
+            s, who, first = s[order], who[order], first[order]
+            met, starts, least = _leads(s, ids[who], first)
+            pair = met & first & (ids[who] != least)
+            pairs = np.unique(np.stack([ids[who[pair]], least[pair]], 1), axis=0)
+            count = np.bincount(who[met], minlength=len(ids))
+            some = count > 0
+            yield pa.RecordBatch.from_pydict(
+                {"part": [turn % parts], "shingles": [b""], "owners": [b""], "ids": [_binary(ids[some])], "members": [_binary(pairs[:, 0])], "regions": [_binary(pairs[:, 1])], "counts": [_binary(count[some])]}, schema=_LEADS
+            )
+            s = s[starts] | (first[starts] * FIRST) | (met[starts] * COUNTED)  # a first row, if any, with the least id
+            who = who[starts]
+            for k, (v, w) in split_by(((s >> np.uint64(2)) % np.uint64(parts)).astype(np.int64), parts, s, who):
+                here, index = np.unique(w, return_inverse=True)
+                yield pa.RecordBatch.from_pydict({"part": [k], "shingles": [_binary(v)], "owners": [_binary(index.astype(np.uint16))], "ids": [_binary(ids[here])], "members": [b""], "regions": [b""], "counts": [b""]}, schema=_LEADS)
 
         for batch in pieces(batches, 0):
             for s in K.shingle_sets(batch.column(0), WIDTH):
@@ -188,41 +222,67 @@ def _first_shingles(parts: int, shared):
                     continue
                 seen.add(me)
                 at, known = K.find(frequent, s)
-                m = prefix_length(len(s))
+                first, long = prefix_lengths(len(s))
                 if known.any():
-                    last = np.where(known, magnitude[at], 0) if len(frequent) else np.zeros(len(s))
-                    s = s[np.lexsort((s, last))[:m]]
+                    s = s[np.lexsort((s, np.where(known, magnitude[at], 0)))[:long]]
                 else:
-                    s = s[:m]
+                    s = s[:long]
                 shingles.append(s)
                 owners.append(me)
-                size += m
-            if size > SLICE:
-                yield from flush()
-                shingles, owners, seen, size = [], [], set(), 0
+                firsts.append(first)
+                size += long
+                if size > SLICE or len(owners) > 60_000:
+                    yield from flush()
+                    turn += 1
+                    shingles, owners, firsts, seen, size = [], [], [], set(), 0
         yield from flush()
 
     return run
 
 
-def _pivots(table: pa.Table) -> pa.Table:
-    """(shingle, class) of one part -> distinct (class, pivot)."""
-    s, who = blobs(table["shingles"], np.uint64), blobs(table["ids"], np.int64)
-    order = np.lexsort((who, s))
-    s, who = s[order], who[order]
-    first = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.zeros(0, bool)
-    lead = who[first][np.cumsum(first) - 1] if len(s) else who
-    met = lead != who
-    pairs = np.unique(np.stack([who[met], lead[met]], 1), axis=0) if met.any() else np.zeros((0, 2), np.int64)
-    return pa.table({"member": pairs[:, 0], "pivot": pairs[:, 1]})
-
-
-def _unpack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_pydict({"member": blobs(batch.column(0), np.int64), "pivot": blobs(batch.column(1), np.int64)})
-
-
-def _member_sets(bits: np.ndarray | None, shared):
+_MET = pa.schema([("member", pa.int64()), ("region", pa.int64()), ("far", pa.bool_()), ("shared", pa.int64())])
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """One part -> (member, region) of classes that share a first shingle, in one slice or
+    across slices (far), and rows (member, shared) with numbers of shared shingles."""
+    s = blobs(table["shingles"], np.uint64)
+    ids, owners = [], []
+    counts: list[np.ndarray] = [blobs(table["counts"], np.int64)]
+    counted: list[np.ndarray] = []
+    for i, o in zip(table["ids"], table["owners"], strict=True):
+        i, o = np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(o.as_buffer(), np.uint16)
+        if len(o):
+            owners.append(i[o])
+        else:
+            counted.append(i)
+    who = np.concatenate(owners or [np.zeros(0, np.int64)])
+    near = np.stack([blobs(table["members"], np.int64), blobs(table["regions"], np.int64)], 1)
+    far = np.zeros((0, 2), np.int64)
+    if len(s):
+        plain, first, known = s & ~_FLAGS, (s & FIRST) > 0, (s & COUNTED) > 0
+        order = np.argsort(plain, kind="stable")
+        plain, first, known, who = plain[order], first[order], known[order], who[order]
+        met, _, least = _leads(plain, who, first)
+        pair = met & first & (who != least)
+        far = np.unique(np.stack([who[pair], least[pair]], 1), axis=0)
+        new = met & ~known
+        counted.append(who[new])
+        counts.append(np.ones(int(new.sum()), np.int64))
+    members, sums = K.tally(np.concatenate(counted or [np.zeros(0, np.int64)]), np.concatenate(counts))
+    n = [len(near), len(far), len(members)]
+    return pa.table(
+        [
+            pa.array(np.concatenate([near[:, 0], far[:, 0], members])),
+            pa.concat_arrays([pa.array(np.concatenate([near[:, 1], far[:, 1]])), pa.nulls(n[2], pa.int64())]),
+            pa.array(np.repeat([False, True, False], n)),
+            pa.array(np.concatenate([np.zeros(n[0] + n[1], np.int64), sums])),
+        ],
+        schema=_MET,
+    )
+
+
+def _member_sets(shared):
     """Documents -> (id, shingles), for those whose key may be among the wanted ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,16 +367,22 @@ def links(docs: DataFrame, profile: DataFrame, classes: DataFrame, text: str) ->
     total = profile.agg(F.sum("n")).first()[0] or 0
     parts = max(2 * shuffles, total // (4 * SLICE) + 1)
     order = spark.sparkContext.broadcast(_frequent(profile))
-    leads = materialize(docs.select(text).mapInArrow(_first_shingles(parts, order), "part long, shingles binary, ids binary"))
-    local = leads.where("part < 0").select("shingles", "ids").mapInArrow(_unpack_pairs, "member long, pivot long")
-    local = materialize(local.distinct())
-    far = materialize(leads.where("part >= 0").groupBy("part").applyInArrow(_pivots, "member long, pivot long").distinct())
-    through = local.join(far.select(F.col("member").alias("pivot"), F.col("pivot").alias("top")), "pivot").select("member", F.col("top").alias("pivot"))
-    regions = materialize(local.union(far).union(through).where("member <> pivot").distinct())
+    packed = docs.select(text).mapInArrow(_first_shingles(parts, order), "part long, shingles binary, owners binary, ids binary, members binary, regions binary, counts binary")
+    met = materialize(packed.groupBy("part").applyInArrow(_meet, "member long, region long, far boolean, shared long"))
+    shared = met.where("region is null").groupBy(F.col("member").alias("id")).agg(F.sum("shared").alias("shared"))
+    able = materialize(shared.join(classes, "id").where(F.col("shared") >= shared_least(F.col("n"))).select("id", "key"))
+    pairs = met.where("region is not null").select("member", "region", "far").distinct()
+    local, far = materialize(pairs.where("not far").drop("far")), materialize(pairs.where("far").drop("far"))
+    through = local.join(far.select(F.col("member").alias("region"), F.col("region").alias("top")), "region").select("member", F.col("top").alias("region"))
+    placed = local.union(far).union(through)
+    placed = materialize(placed.union(placed.select("region", "region")).distinct())
+    placed = materialize(placed.join(able.select(F.col("id").alias("member")), "member", "left_semi"))
+    pivots = materialize(placed.groupBy("region").agg(F.min("member").alias("pivot"), F.count("*").alias("count")).where("count > 1"))
+    regions = materialize(placed.join(pivots, "region").where("member <> pivot").select("pivot", "member").distinct())
 
     wanted = regions.select(F.col("member").alias("id")).union(regions.select(F.col("pivot").alias("id"))).distinct()
-    wanted = materialize(wanted.join(classes, "id").select("id", "key"))
-    sets = docs.select("key", text).mapInArrow(_member_sets(None, _key_filter(spark, wanted)), "key long, id long, shingles binary")
+    wanted = materialize(wanted.join(able, "id").select("id", "key"))
+    sets = docs.select("key", text).mapInArrow(_member_sets(_key_filter(spark, wanted)), "key long, id long, shingles binary")
     sets = materialize(sets.join(wanted, ["id", "key"]).groupBy("id").agg(F.min("shingles").alias("shingles")))
 
     sizes = materialize(regions.groupBy("pivot").count())
@@ -345,7 +411,7 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     profile = materialize(docs.select("key", "doc_id", "text").mapInArrow(_profile(parts), "key long, doc_id long, n long, id long, part int, shingles binary, counts binary"))
     rows = profile.where("part is null").select("key", "doc_id", "n", "id")
-    classes = materialize(rows.where("id is not null").groupBy("id").agg(F.min("key").alias("key"), F.min("doc_id").alias("low")))
+    classes = materialize(rows.where("id is not null").groupBy("id").agg(F.min("key").alias("key"), F.min("doc_id").alias("low"), F.min("n").alias("n")))
     found = components(links(docs, profile, classes, "text"))
     rooted = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "low", F.coalesce("component", "id").alias("root"))
     rooted = materialize(rooted)
