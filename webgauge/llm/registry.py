@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, jaccard, mixing, tokencount
+from . import ctw, jaccard, mixing, nbsvm, tokencount
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_token_counts": tokencount.op2_token_counts,
         "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
+        "op4_quality_classifier": nbsvm.op4_quality_classifier,
         "op10_ctw_scores": ctw.op10_ctw_scores,
     }
 
