@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, jaccard, mixing, nbsvm, pii, tokencount
+from . import ctw, jaccard, linededup, mixing, nbsvm, pii, tokencount
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_token_counts": tokencount.op2_token_counts,
         "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
         "op4_quality_classifier": nbsvm.op4_quality_classifier,
+        "op7_line_dedup": linededup.op7_line_dedup,
         "op9_personal_data": pii.op9_personal_data,
         "op10_ctw_scores": ctw.op10_ctw_scores,
     }
