@@ -14,9 +14,9 @@ windows, in these steps:
    document goes to its own region and is replicated into the others that it
    borders on.  Thus each pair within 1/4 meets in a region, whatever the order;
    the order (rare shingles first) only keeps regions small.  Such a pair also
-   shares an eighth or so of a prefix half as long again, so a class with fewer
-   shared shingles there has no partner and leaves.  The least class that is left
-   in a region is its pivot.
+   shares about an eighth of a set within a prefix half as long again, so a class with
+   fewer shared shingles there has no partner and has left before.  The class that
+   leads a region is its pivot.
 3. Each region is dealt out in chunks, with the pivot in each, and the distance
    of every member to the pivot is computed exactly.  Members within 1/4 link to it.
 4. Window.  Of a region there remain the members that did not link, and those that
@@ -162,124 +162,125 @@ def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return v[order], c[order]
 
 
-_LEADS = pa.schema([("part", pa.int64()), ("shingles", pa.binary()), ("owners", pa.binary()), ("ids", pa.binary()), ("members", pa.binary()), ("regions", pa.binary()), ("counts", pa.binary())])
-FIRST, COUNTED = np.uint64(1), np.uint64(2)
-_FLAGS = np.uint64(3)
+_PACKED = pa.schema([("part", pa.int64()), ("shingles", pa.binary()), ("owners", pa.binary()), ("ids", pa.binary()), ("left", pa.binary()), ("right", pa.binary())])
+_PACKED_SQL = "part long, shingles binary, owners binary, ids binary, left binary, right binary"
+SHARED = np.uint64(1)  # low bit of a shingle that is already known to be shared
 
 
-def _leads(s: np.ndarray, who: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows sorted by shingle: whether its shingle has several rows, where its run starts,
-    and the least id among the run's ``first`` rows (or the largest long)."""
+def _runs(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the runs of equal values, and the run of each value."""
     new = np.concatenate(([True], s[1:] != s[:-1]))
-    run = np.cumsum(new) - 1
-    starts = np.flatnonzero(new)
-    lengths = np.diff(np.append(starts, len(s)))
-    least = np.minimum.reduceat(np.where(first, who, np.iinfo(np.int64).max), starts)
-    return (lengths > 1)[run], starts, least[run]
+    return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _first_shingles(parts: int, shared):
-    """Documents -> packed rows by part of the hash space: the long prefixes' shingles, of
-    which one a slice is sent on, with two flags in the low bits (in the first prefix;
-    already known to be shared), and what has met within the slice."""
+def _prefixes(sets: Iterator[tuple[int, np.ndarray]], order, which: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of prefix shingles: (shingles in sorted order, index of the owner, ids of owners)."""
+    frequent, magnitude = order
+    shingles: list[np.ndarray] = []
+    owners: dict[int, None] = {}
+    size = 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, magnitude = shared.value
-        shingles: list[np.ndarray] = []
-        owners: list[int] = []
-        firsts: list[int] = []
-        seen: set[int] = set()
-        size = turn = 0
+    def slice_() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = np.array(list(owners), np.int64)
+        s = np.concatenate(shingles) & ~SHARED
+        who = np.repeat(np.arange(len(ids)), [len(x) for x in shingles])
+        by = np.lexsort((ids[who], s))
+        return s[by], who[by], ids
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not shingles:
-                return
-            ids = np.array(owners, np.int64)
-            lengths = [len(x) for x in shingles]
-            s = np.concatenate(shingles) & ~_FLAGS
-            who = np.repeat(np.arange(len(ids)), lengths)
-            rank = np.arange(len(s)) - np.repeat(np.cumsum([0, *lengths[:-1]]), lengths)
-            first = rank < np.repeat(np.array(firsts), lengths)
-            order = np.lexsort((ids[who], ~first, s))
-            s, who, first = s[order], who[order], first[order]
-            met, starts, least = _leads(s, ids[who], first)
-            pair = met & first & (ids[who] != least)
-            pairs = np.unique(np.stack([ids[who[pair]], least[pair]], 1), axis=0)
+    for me, s in sets:
+        if me in owners:
+            continue
+        long = prefix_lengths(len(s))[which]
+        at, known = K.find(frequent, s)
+        s = s[np.lexsort((s, np.where(known, magnitude[at], 0)))[:long]] if known.any() else s[:long]
+        shingles.append(s)
+        owners[me] = None
+        size += long
+        if size > SLICE or len(owners) > 60_000:
+            yield slice_()
+            shingles, owners, size = [], {}, 0
+    if owners:
+        yield slice_()
+
+
+def _packed(parts: int, turn: int, s: np.ndarray, who: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def row(part: int, *blobs_: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part]), *[pa.array([_binary(b)], pa.binary()) for b in blobs_]], schema=_PACKED)
+
+    none = np.zeros(0, np.int64)
+    yield row(turn % parts, none, none, none, left, right)
+    for k, (v, w) in split_by(((s >> np.uint64(1)) % np.uint64(parts)).astype(np.int64), parts, s, who):
+        here, index = np.unique(w, return_inverse=True)
+        yield row(k, v, index.astype(np.uint16), ids[here], none, none)
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    who = [np.frombuffer(i.as_buffer(), np.int64)[np.frombuffer(o.as_buffer(), np.uint16)] for i, o in zip(table["ids"], table["owners"], strict=True)]
+    return blobs(table["shingles"], np.uint64), np.concatenate(who), blobs(table["left"], np.int64), blobs(table["right"], np.int64)
+
+
+def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    for batch in pieces(batches, 0):
+        for s in K.shingle_sets(batch.column(0), WIDTH):
+            if len(s):
+                yield set_id(s), s
+
+
+def _long_prefixes(parts: int, shared):
+    """Documents -> packed shingles of their long prefixes, each once a slice; left and right
+    have classes with the number of their shingles that met another class in the slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for turn, (s, who, ids) in enumerate(_prefixes(_sets_of(batches), shared.value, 1)):
+            starts, run_of = _runs(s)
+            met = (np.diff(np.append(starts, len(s))) > 1)[run_of]
             count = np.bincount(who[met], minlength=len(ids))
-            some = count > 0
-            yield pa.RecordBatch.from_pydict(
-                {"part": [turn % parts], "shingles": [b""], "owners": [b""], "ids": [_binary(ids[some])], "members": [_binary(pairs[:, 0])], "regions": [_binary(pairs[:, 1])], "counts": [_binary(count[some])]}, schema=_LEADS
-            )
-            s = s[starts] | (first[starts] * FIRST) | (met[starts] * COUNTED)  # a first row, if any, with the least id
-            who = who[starts]
-            for k, (v, w) in split_by(((s >> np.uint64(2)) % np.uint64(parts)).astype(np.int64), parts, s, who):
-                here, index = np.unique(w, return_inverse=True)
-                yield pa.RecordBatch.from_pydict({"part": [k], "shingles": [_binary(v)], "owners": [_binary(index.astype(np.uint16))], "ids": [_binary(ids[here])], "members": [b""], "regions": [b""], "counts": [b""]}, schema=_LEADS)
-
-        for batch in pieces(batches, 0):
-            for s in K.shingle_sets(batch.column(0), WIDTH):
-                if not len(s) or (me := set_id(s)) in seen:
-                    continue
-                seen.add(me)
-                at, known = K.find(frequent, s)
-                first, long = prefix_lengths(len(s))
-                if known.any():
-                    s = s[np.lexsort((s, np.where(known, magnitude[at], 0)))[:long]]
-                else:
-                    s = s[:long]
-                shingles.append(s)
-                owners.append(me)
-                firsts.append(first)
-                size += long
-                if size > SLICE or len(owners) > 60_000:
-                    yield from flush()
-                    turn += 1
-                    shingles, owners, firsts, seen, size = [], [], [], set(), 0
-        yield from flush()
+            yield from _packed(parts, turn, s[starts] | (met[starts] * SHARED), who[starts], ids, ids[count > 0], count[count > 0])
 
     return run
 
 
-_MET = pa.schema([("member", pa.int64()), ("region", pa.int64()), ("far", pa.bool_()), ("shared", pa.int64())])
+def _count_shared(table: pa.Table) -> pa.Table:
+    """One part -> (id, shared): how many shingles of a class other classes have too."""
+    s, who, members, counts = _unpacked(table)
+    if len(s):
+        by = np.argsort(s >> np.uint64(1), kind="stable")
+        s, who = s[by], who[by]
+        starts, run_of = _runs(s >> np.uint64(1))
+        new = (np.diff(np.append(starts, len(s))) > 1)[run_of] & ((s & SHARED) == 0)
+        members, counts = np.concatenate([members, who[new]]), np.concatenate([counts, np.ones(int(new.sum()), np.int64)])
+    members, counts = K.tally(members, counts)
+    return pa.table({"id": members, "shared": counts})
+
+
+def _first_prefixes(parts: int, shared):
+    """(id, shingles) -> packed shingles of their first prefixes, each with the least class of
+    the slice; left and right have the other classes with that one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = ((i, np.frombuffer(s.as_buffer(), np.uint64)) for b in batches for i, s in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        for turn, (s, who, ids) in enumerate(_prefixes(sets, shared.value, 0)):
+            starts, run_of = _runs(s)
+            pairs = _distinct_pairs(ids[who], ids[who[starts]][run_of])
+            yield from _packed(parts, turn, s[starts], who[starts], ids, pairs[:, 0], pairs[:, 1])
+
+    return run
+
+
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([a[a != b], b[a != b]], 1), axis=0)
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """One part -> (member, region) of classes that share a first shingle, in one slice or
-    across slices (far), and rows (member, shared) with numbers of shared shingles."""
-    s = blobs(table["shingles"], np.uint64)
-    ids, owners = [], []
-    counts: list[np.ndarray] = [blobs(table["counts"], np.int64)]
-    counted: list[np.ndarray] = []
-    for i, o in zip(table["ids"], table["owners"], strict=True):
-        i, o = np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(o.as_buffer(), np.uint16)
-        if len(o):
-            owners.append(i[o])
-        else:
-            counted.append(i)
-    who = np.concatenate(owners or [np.zeros(0, np.int64)])
-    near = np.stack([blobs(table["members"], np.int64), blobs(table["regions"], np.int64)], 1)
+    """One part -> (member, region) of classes that share a first shingle, in one slice or across slices (far)."""
+    s, who, left, right = _unpacked(table)
     far = np.zeros((0, 2), np.int64)
     if len(s):
-        plain, first, known = s & ~_FLAGS, (s & FIRST) > 0, (s & COUNTED) > 0
-        order = np.argsort(plain, kind="stable")
-        plain, first, known, who = plain[order], first[order], known[order], who[order]
-        met, _, least = _leads(plain, who, first)
-        pair = met & first & (who != least)
-        far = np.unique(np.stack([who[pair], least[pair]], 1), axis=0)
-        new = met & ~known
-        counted.append(who[new])
-        counts.append(np.ones(int(new.sum()), np.int64))
-    members, sums = K.tally(np.concatenate(counted or [np.zeros(0, np.int64)]), np.concatenate(counts))
-    n = [len(near), len(far), len(members)]
-    return pa.table(
-        [
-            pa.array(np.concatenate([near[:, 0], far[:, 0], members])),
-            pa.concat_arrays([pa.array(np.concatenate([near[:, 1], far[:, 1]])), pa.nulls(n[2], pa.int64())]),
-            pa.array(np.repeat([False, True, False], n)),
-            pa.array(np.concatenate([np.zeros(n[0] + n[1], np.int64), sums])),
-        ],
-        schema=_MET,
-    )
+        by = np.lexsort((who, s))
+        s, who = s[by], who[by]
+        starts, run_of = _runs(s)
+        far = _distinct_pairs(who, who[starts][run_of])
+    return pa.table({"member": np.concatenate([left, far[:, 0]]), "region": np.concatenate([right, far[:, 1]]), "far": np.repeat([False, True], [len(left), len(far)])})
 
 
 def _member_sets(shared):
@@ -343,19 +344,21 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         values, ids = np.unique(np.concatenate(sets), return_inverse=True)
         a, b = [], []
+        group = np.where(near, -1, np.arange(len(sets)))  # those near the pivot are connected through it
         for k in np.flatnonzero(~near):
             window = (np.abs(distance - distance[k]) <= 0.25 + 1e-9) & (4 * np.minimum(sizes, sizes[k]) >= 3 * np.maximum(sizes, sizes[k]))
-            window[k] = False
+            window &= group != group[k]  # and what is connected already needs no link
             if i != j:
                 window &= block != block[k]
-            else:
-                window &= near | (np.arange(len(sets)) > k)
             if not window.any():
                 continue
             both = _overlaps(ids, starts, ids[starts[k] : starts[k] + sizes[k]], len(values))
             linked = np.flatnonzero(window & (4 * both >= 3 * (sizes + sizes[k] - both)))
-            a += [members[k]] * len(linked)
-            b += members[linked].tolist()
+            for x in linked:
+                if group[x] != group[k]:
+                    a.append(members[k])
+                    b.append(members[x])
+                    group[group == max(group[x], group[k])] = min(group[x], group[k])
         if a:
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -367,23 +370,17 @@ def links(docs: DataFrame, profile: DataFrame, classes: DataFrame, text: str) ->
     total = profile.agg(F.sum("n")).first()[0] or 0
     parts = max(2 * shuffles, total // (4 * SLICE) + 1)
     order = spark.sparkContext.broadcast(_frequent(profile))
-    packed = docs.select(text).mapInArrow(_first_shingles(parts, order), "part long, shingles binary, owners binary, ids binary, members binary, regions binary, counts binary")
-    met = materialize(packed.groupBy("part").applyInArrow(_meet, "member long, region long, far boolean, shared long"))
-    shared = met.where("region is null").groupBy(F.col("member").alias("id")).agg(F.sum("shared").alias("shared"))
+    packed = docs.select(text).mapInArrow(_long_prefixes(parts, order), _PACKED_SQL)
+    shared = packed.groupBy("part").applyInArrow(_count_shared, "id long, shared long").groupBy("id").agg(F.sum("shared").alias("shared"))
     able = materialize(shared.join(classes, "id").where(F.col("shared") >= shared_least(F.col("n"))).select("id", "key"))
-    pairs = met.where("region is not null").select("member", "region", "far").distinct()
-    local, far = materialize(pairs.where("not far").drop("far")), materialize(pairs.where("far").drop("far"))
+
+    sets = docs.select("key", text).mapInArrow(_member_sets(_key_filter(spark, able)), "key long, id long, shingles binary")
+    sets = materialize(sets.join(able, ["id", "key"]).groupBy("id").agg(F.min("shingles").alias("shingles")))
+    met = sets.mapInArrow(_first_prefixes(parts, order), _PACKED_SQL).groupBy("part").applyInArrow(_meet, "member long, region long, far boolean")
+    met = materialize(met.distinct())
+    local, far = met.where("not far").drop("far"), met.where("far").drop("far")
     through = local.join(far.select(F.col("member").alias("region"), F.col("region").alias("top")), "region").select("member", F.col("top").alias("region"))
-    placed = local.union(far).union(through)
-    placed = materialize(placed.union(placed.select("region", "region")).distinct())
-    placed = materialize(placed.join(able.select(F.col("id").alias("member")), "member", "left_semi"))
-    pivots = materialize(placed.groupBy("region").agg(F.min("member").alias("pivot"), F.count("*").alias("count")).where("count > 1"))
-    regions = materialize(placed.join(pivots, "region").where("member <> pivot").select("pivot", "member").distinct())
-
-    wanted = regions.select(F.col("member").alias("id")).union(regions.select(F.col("pivot").alias("id"))).distinct()
-    wanted = materialize(wanted.join(able, "id").select("id", "key"))
-    sets = docs.select("key", text).mapInArrow(_member_sets(_key_filter(spark, wanted)), "key long, id long, shingles binary")
-    sets = materialize(sets.join(wanted, ["id", "key"]).groupBy("id").agg(F.min("shingles").alias("shingles")))
+    regions = materialize(local.union(far).union(through).select("member", F.col("region").alias("pivot")).where("member <> pivot").distinct())
 
     sizes = materialize(regions.groupBy("pivot").count())
     chunked = regions.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.ceil(F.col("count") / CHUNK)).alias("chunk"), "member")
