@@ -45,7 +45,9 @@ START, END = 0xFE, 0xFF  # no byte of UTF-8
 HOT_WORDS = 1 << 18
 HOT_GRAMS = 1 << 21
 ADD = 0.1
-MERGE = 3_000_000  # distinct entries held by a task before they are sent on
+MERGE = 1_500_000  # distinct entries held by a task before they are sent on
+SEND = 500_000  # occurrences of other entries held by a task
+PIECE = 2 << 20
 U = np.uint64
 
 _LOG_HALF = float(np.log(0.5))
@@ -197,7 +199,7 @@ class _Merger:
         self.size += len(k)
 
     def full(self) -> bool:
-        if self.size > 3 * MERGE:
+        if self.size > 2 * MERGE:
             k, c = K.tally(np.concatenate(self.keys), np.concatenate(self.counts))
             self.keys, self.counts, self.size = [k], [c], len(k)
         return self.size > MERGE and len(self.keys) == 1
@@ -214,7 +216,7 @@ class _Merger:
 def _count(parts: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, byte_grams = _Merger(WORD_KIND, parts), _Merger(GRAM_KIND, parts)
-        for batch in pieces(batches, 0):
+        for batch in pieces(batches, 0, PIECE):
             words.add(K.words(batch.column(0))[0])
             for keys, _ in grams(batch.column(0), depth):
                 byte_grams.add(keys)
@@ -272,11 +274,11 @@ class HashTable:
 
     PROBES = 4
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
+    def __init__(self, keys: np.ndarray, values: np.ndarray, kind=np.float64):
         bits = max(8, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
         self.shift, self.mask = U(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, U(0xFFFFFFFFFFFFFFFF))
-        self.values = np.zeros(1 << bits)
+        self.values = np.zeros(1 << bits, kind)
         rest = np.arange(len(keys))
         for probe in range(self.PROBES):
             slot = self._slot(keys[rest], probe)
@@ -367,7 +369,7 @@ def _score(parts: int, depth: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, byte_grams = shared.value
         held: dict[int, tuple[list, list]] = {WORD_KIND: ([], []), GRAM_KIND: ([], [])}
-        for batch in pieces(batches, 3):
+        for batch in pieces(batches, 3, PIECE):
             rids = int64(batch.column(0))
             hashes, at = K.words(batch.column(3))
             values, there = words.get(hashes)
@@ -391,7 +393,7 @@ def _score(parts: int, depth: int, shared):
                 schema=_SCORED,
             )
             for kind, (k, r) in held.items():
-                if sum(map(len, k)) > MERGE:
+                if sum(map(len, k)) > SEND:
                     yield from cold(kind, k, r)
                     held[kind] = ([], [])
         for kind, (k, r) in held.items():
@@ -448,7 +450,7 @@ def score_documents(docs: DataFrame, held_out, depth: int = DEPTH, text: str = "
     scored = materialize(byte_counts.mapInArrow(_evaluate(depth, upper), "keys binary, counts binary, values binary"))
     words = counted.where(F.col("kind") == WORD_KIND).select("keys", "counts").mapInArrow(_word_values, "keys binary, counts binary, values binary")
     hot = spark.sparkContext.broadcast(
-        (HashTable(*_collect_hot(words, _floor_count(counted, WORD_KIND, HOT_WORDS))), HashTable(*_collect_hot(scored, _floor_count(counted, GRAM_KIND, HOT_GRAMS))))
+        (HashTable(*_collect_hot(words, _floor_count(counted, WORD_KIND, HOT_WORDS))), HashTable(*_collect_hot(scored, _floor_count(counted, GRAM_KIND, HOT_GRAMS)), np.float32))
     )
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
     first = materialize(numbered.mapInArrow(_score(parts, depth, hot), _SCORED_SQL))
