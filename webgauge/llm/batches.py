@@ -32,8 +32,11 @@ def int64(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
-    """Runs of rows alike in the first ``keys`` columns (longs), of a stream sorted by them."""
+def groups(batches: Iterable[pa.RecordBatch], keys: int, least: int = 1) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """Runs of rows alike in the first ``keys`` columns (longs), of a stream sorted by them.
+
+    Runs of fewer than ``least`` rows are passed over.
+    """
     held: list[pa.RecordBatch] = []
     now: tuple[int, ...] | None = None
     for batch in batches:
@@ -45,13 +48,16 @@ def groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
             change[1:] |= c[1:] != c[:-1]
         starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
         for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            if hi - lo < least and 0 < lo and hi < batch.num_rows:
+                continue
             key = tuple(int(c[lo]) for c in columns)
             if now is not None and key != now:
-                yield now, pa.Table.from_batches(held)
+                if sum(b.num_rows for b in held) >= least:
+                    yield now, pa.Table.from_batches(held)
                 held = []
             now = key
             held.append(batch.slice(lo, hi - lo))
-    if now is not None:
+    if now is not None and sum(b.num_rows for b in held) >= least:
         yield now, pa.Table.from_batches(held)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, jaccard, linededup, mixing, nbsvm, pii, tokencount
+from . import crosspolytope, ctw, jaccard, linededup, mixing, nbsvm, pii, tokencount
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
         "op4_quality_classifier": nbsvm.op4_quality_classifier,
         "op7_line_dedup": linededup.op7_line_dedup,
+        "op8_near_vectors": crosspolytope.op8_near_vectors,
         "op9_personal_data": pii.op9_personal_data,
         "op10_ctw_scores": ctw.op10_ctw_scores,
     }
