@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crosspolytope, ctw, jaccard, linededup, mixing, nbsvm, pii, tokencount
+from . import crosspolytope, ctw, decontamination, jaccard, linededup, mixing, nbsvm, pii, tokencount
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_token_counts": tokencount.op2_token_counts,
         "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
         "op4_quality_classifier": nbsvm.op4_quality_classifier,
+        "op5_decontamination": decontamination.op5_decontamination,
         "op7_line_dedup": linededup.op7_line_dedup,
         "op8_near_vectors": crosspolytope.op8_near_vectors,
         "op9_personal_data": pii.op9_personal_data,
