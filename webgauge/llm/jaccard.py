@@ -403,8 +403,8 @@ def links(docs: DataFrame, profile: DataFrame, classes: DataFrame, text: str) ->
 
 
 def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs; and ``key``, the row's identity."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("key", row_key("doc_id", "text"))
+    """doc_id, n_shingles, component_id for every row of docs; and ``key``, the row's identity, and ``root``, the component's (null for empty texts)."""
+    docs = docs.select(row_key(doc_id, text).alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     profile = materialize(docs.select("key", "doc_id", "text").mapInArrow(_profile(parts), "key long, doc_id long, n long, id long, part int, shingles binary, counts binary"))
     rows = profile.where("part is null").select("key", "doc_id", "n", "id")
@@ -413,13 +413,25 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     rooted = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "low", F.coalesce("component", "id").alias("root"))
     rooted = materialize(rooted)
     lowest = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
-    final = materialize(rooted.join(lowest, "root").select("id", "component_id"))
+    final = materialize(rooted.join(lowest, "root").select("id", "component_id", "root"))
     out = rows.join(final, "id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key", "root")
+
+
+def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one document, that of the least doc_id, of each component; empty texts stay."""
+    found = materialize(similar_documents(docs, text, doc_id).withColumn("group", F.coalesce("root", "key")))
+    least = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
+    kept = materialize(least.select(F.col("first.key").alias("_kept_key"), (F.col("n") > F.col("keys")).alias("repeated")))
+    keyed = docs.withColumn("_row_key", row_key(doc_id, text))
+    left = keyed.join(kept.select("_kept_key"), F.col("_row_key") == F.col("_kept_key"), "left_semi")
+    if not kept.where("repeated").isEmpty():  # rows alike in doc_id and text
+        left = left.dropDuplicates(["_row_key"])
+    return left.drop("_row_key")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(read(spark, sf_dir, "documents")).drop("key")
+    return similar_documents(read(spark, sf_dir, "documents")).drop("key", "root")
 
 
 OP3_SQL = """

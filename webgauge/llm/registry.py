@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import crosspolytope, ctw, decontamination, jaccard, linededup, mixing, nbsvm, pii, tokencount
+import corpus_pipeline
+
+from . import crosspolytope, ctw, decontamination, jaccard, linededup, mixing, nbsvm, pii, templates, tokencount
 
 
 def queries() -> dict:
@@ -12,12 +14,17 @@ def queries() -> dict:
         "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
         "op4_quality_classifier": nbsvm.op4_quality_classifier,
         "op5_decontamination": decontamination.op5_decontamination,
+        "op6_main_texts": templates.op6_main_texts,
         "op7_line_dedup": linededup.op7_line_dedup,
         "op8_near_vectors": crosspolytope.op8_near_vectors,
         "op9_personal_data": pii.op9_personal_data,
         "op10_ctw_scores": ctw.op10_ctw_scores,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL, "op3_ngram_jaccard": jaccard.OP3_SQL}
+    found = {"op1_mix_sources": mixing.OP1_SQL, "op3_ngram_jaccard": jaccard.OP3_SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
