@@ -1,13 +1,15 @@
-"""Shared helpers: tables, scratch storage, row keys and connected components."""
+"""Shared helpers: tables and row keys; scratch tables and connected components are the library's."""
 
 from __future__ import annotations
 
-import getpass
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webgauge.operators.components import components
+from webgauge.plans.scratch import table as materialize
+
+__all__ = ["WORD", "components", "materialize", "read", "remainder", "row_key"]
+
 #: A word, as a Java and as a Python regular expression.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -16,24 +18,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or f"file:///tmp/checkpoints/{getpass.getuser()}").rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to the shared scratch folder and reads it back.
-
-    This cuts the lineage: a lost executor costs at most the tasks that read its
-    shuffle files, and nothing above the written table is computed again.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/webgauge-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_key(*columns: str) -> Column:
     """64-bit identity of a row; rows alike in all the columns share it (and are treated as one)."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")) for c in columns])
@@ -42,39 +26,3 @@ def row_key(*columns: str) -> Column:
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of a value's text modulo a number; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
-
-
-def distinct_labels(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.min(value).alias(value))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a long, b long): rows (node, component), the
-    component being the smallest node in it.  Nodes without an edge do not appear.
-
-    Alternates large-star and small-star steps (Kiveris et al., SoCC 2014).  Each
-    step shuffles the edges on one end only and writes its result, so that a hub
-    is an ordinary skewed equi-join, which adaptive execution splits.
-    """
-    pair = [F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")]
-    now = materialize(edges.where("a <> b").select(*pair).distinct())
-    state = _checksum(now)
-    while state[0]:
-        both = now.union(now.select("v", "u"))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(low.where("m < u or m is not null"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u <> v").distinct())
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = materialize(small.where("u <> v").distinct())
-        before, state = state, _checksum(now)
-        if before == state:
-            break
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
-
-
-def _checksum(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
