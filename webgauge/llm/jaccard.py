@@ -33,7 +33,7 @@ Order of shingles: those seen in several documents of one task are counted over
 the corpus; the ``ORDER_SIZE`` most frequent go last, by magnitude of their count,
 and the rest by hash.  This table has a fixed size limit and changes no result.
 
-Plan: three scans of the texts; shuffled are ten bytes for each shingle of the
+Plan: three scans of the texts; shuffled are eight bytes for each shingle of the
 prefixes (packed, dealt by hash, one a slice), and the sets of those classes alone
 that may have a partner.
 
@@ -196,7 +196,7 @@ def _prefixes(sets: Iterator[tuple[int, np.ndarray]], order, which: int) -> Iter
         shingles.append(s)
         owners[me] = None
         size += long
-        if size > SLICE or len(owners) > 60_000:
+        if size > SLICE or len(owners) > 30_000:
             yield slice_()
             shingles, owners, size = [], {}, 0
     if owners:
@@ -204,19 +204,27 @@ def _prefixes(sets: Iterator[tuple[int, np.ndarray]], order, which: int) -> Iter
 
 
 def _packed(parts: int, turn: int, s: np.ndarray, who: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
-    def row(part: int, *blobs_: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part]), *[pa.array([_binary(b)], pa.binary()) for b in blobs_]], schema=_PACKED)
+    """Shingles travel as six bytes beside their part: equal ones stay equal, and a chance
+    collision only lets a class stay or meet that need not."""
 
-    none = np.zeros(0, np.int64)
-    yield row(turn % parts, none, none, none, left, right)
-    for k, (v, w) in split_by(((s >> np.uint64(1)) % np.uint64(parts)).astype(np.int64), parts, s, who):
+    def row(part: int, *blobs_: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part]), *[pa.array([b], pa.binary()) for b in blobs_]], schema=_PACKED)
+
+    yield row(turn % parts, b"", b"", b"", _binary(left), _binary(right))
+    flag = (s & SHARED).astype(np.int64)
+    for k, (v, w, f) in split_by(((s >> np.uint64(1)) % np.uint64(parts)).astype(np.int64), parts, s >> np.uint64(16), who, flag):
         here, index = np.unique(w, return_inverse=True)
-        yield row(k, v, index.astype(np.uint16), ids[here], none, none)
+        six = v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        yield row(k, six.tobytes(), _binary((2 * index + f).astype(np.uint16)), _binary(ids[here]), b"", b"")
 
 
-def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    who = [np.frombuffer(i.as_buffer(), np.int64)[np.frombuffer(o.as_buffer(), np.uint16)] for i, o in zip(table["ids"], table["owners"], strict=True)]
-    return blobs(table["shingles"], np.uint64), np.concatenate(who), blobs(table["left"], np.int64), blobs(table["right"], np.int64)
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Shingles, their owners, whether they are known to be shared; left and right."""
+    owners = blobs(table["owners"], np.uint16)
+    who = [np.frombuffer(i.as_buffer(), np.int64)[np.frombuffer(o.as_buffer(), np.uint16) >> 1] for i, o in zip(table["ids"], table["owners"], strict=True)]
+    wide = np.zeros((len(owners), 8), np.uint8)
+    wide[:, :6] = blobs(table["shingles"], np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel().astype(np.uint64), np.concatenate(who), (owners & 1) == 1, blobs(table["left"], np.int64), blobs(table["right"], np.int64)
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
@@ -240,16 +248,26 @@ def _long_prefixes(parts: int, shared):
     return run
 
 
-def _count_shared(table: pa.Table) -> pa.Table:
-    """One part -> (id, shared): how many shingles of a class other classes have too."""
-    s, who, members, counts = _unpacked(table)
-    if len(s):
-        by = np.argsort(s >> np.uint64(1), kind="stable")
-        s, who = s[by], who[by]
-        starts, run_of = _runs(s >> np.uint64(1))
-        new = (np.diff(np.append(starts, len(s))) > 1)[run_of] & ((s & SHARED) == 0)
-        members, counts = np.concatenate([members, who[new]]), np.concatenate([counts, np.ones(int(new.sum()), np.int64)])
-    members, counts = K.tally(members, counts)
+def _count_shared(buckets: int):
+    """One part -> packed (id, count): how many shingles of a class other classes have too."""
+
+    def run(table: pa.Table) -> pa.Table:
+        s, who, known, members, counts = _unpacked(table)
+        if len(s):
+            by = np.argsort(s, kind="stable")
+            s, who, known = s[by], who[by], known[by]
+            starts, run_of = _runs(s)
+            new = (np.diff(np.append(starts, len(s))) > 1)[run_of] & ~known
+            members, counts = np.concatenate([members, who[new]]), np.concatenate([counts, np.ones(int(new.sum()), np.int64)])
+        members, counts = K.tally(members, counts)
+        rows = list(split_by(members % buckets, buckets, members, counts))
+        return pa.table({"bucket": pa.array([k for k, _ in rows], pa.int64()), "ids": pa.array([_binary(r[0]) for _, r in rows], pa.binary()), "counts": pa.array([_binary(r[1]) for _, r in rows], pa.binary())})
+
+    return run
+
+
+def _sum_shared(table: pa.Table) -> pa.Table:
+    members, counts = K.tally(blobs(table["ids"], np.int64), blobs(table["counts"], np.int64))
     return pa.table({"id": members, "shared": counts})
 
 
@@ -273,7 +291,7 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _meet(table: pa.Table) -> pa.Table:
     """One part -> (member, region) of classes that share a first shingle, in one slice or across slices (far)."""
-    s, who, left, right = _unpacked(table)
+    s, who, _, left, right = _unpacked(table)
     far = np.zeros((0, 2), np.int64)
     if len(s):
         by = np.lexsort((who, s))
@@ -371,12 +389,15 @@ def links(docs: DataFrame, profile: DataFrame, classes: DataFrame, text: str) ->
     parts = max(2 * shuffles, total // (4 * SLICE) + 1)
     order = spark.sparkContext.broadcast(_frequent(profile))
     packed = docs.select(text).mapInArrow(_long_prefixes(parts, order), _PACKED_SQL)
-    shared = packed.groupBy("part").applyInArrow(_count_shared, "id long, shared long").groupBy("id").agg(F.sum("shared").alias("shared"))
-    able = materialize(shared.join(classes, "id").where(F.col("shared") >= shared_least(F.col("n"))).select("id", "key"))
-
-    sets = docs.select("key", text).mapInArrow(_member_sets(_key_filter(spark, able)), "key long, id long, shingles binary")
-    sets = materialize(sets.join(able, ["id", "key"]).groupBy("id").agg(F.min("shingles").alias("shingles")))
-    met = sets.mapInArrow(_first_prefixes(parts, order), _PACKED_SQL).groupBy("part").applyInArrow(_meet, "member long, region long, far boolean")
+    buckets = max(8, parts // 8)
+    shared = packed.groupBy("part").applyInArrow(_count_shared(buckets), "bucket long, ids binary, counts binary")
+    shared = shared.groupBy("bucket").applyInArrow(_sum_shared, "id long, shared long")
+    able = materialize(shared.join(classes, "id").where(F.col("shared") >= shared_least(F.col("n"))).select("id", F.col("key").alias("its"), "n"))
+
+    sets = docs.select("key", text).mapInArrow(_member_sets(_key_filter(spark, able.select(F.col("its").alias("key")))), "key long, id long, shingles binary")
+    sets = materialize(sets.join(able.hint("merge"), "id").where("key = its").groupBy("id").agg(F.min("shingles").alias("shingles")))
+    few = (able.agg(F.sum("n")).first()[0] or 0) // (4 * SLICE) + 1  # slices as large as they may be: a class then leads few regions
+    met = sets.coalesce(int(few)).mapInArrow(_first_prefixes(parts, order), _PACKED_SQL).groupBy("part").applyInArrow(_meet, "member long, region long, far boolean")
     met = materialize(met.distinct())
     local, far = met.where("not far").drop("far"), met.where("far").drop("far")
     through = local.join(far.select(F.col("member").alias("region"), F.col("region").alias("top")), "region").select("member", F.col("top").alias("region"))
@@ -386,7 +407,8 @@ def links(docs: DataFrame, profile: DataFrame, classes: DataFrame, text: str) ->
     chunked = regions.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.ceil(F.col("count") / CHUNK)).alias("chunk"), "member")
     chunked = materialize(chunked)
     placed = chunked.union(chunked.select("pivot", "chunk", F.col("pivot").alias("member")).distinct())
-    with_sets = placed.join(sets.withColumnRenamed("id", "member"), "member").select("pivot", "chunk", "member", "shingles")
+    # sets are joined by shuffle at every size: both sides grow with the corpus
+    with_sets = placed.join(sets.withColumnRenamed("id", "member").hint("merge"), "member").select("pivot", "chunk", "member", "shingles")
     distances = with_sets.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk")
     distances = materialize(distances.mapInArrow(_to_pivot, "pivot long, member long, near boolean, distance double"))
 
@@ -397,7 +419,7 @@ def links(docs: DataFrame, profile: DataFrame, classes: DataFrame, text: str) ->
     blocked = left.join(blocks, "pivot").withColumn("of", F.ceil(F.col("count") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("member", F.lit(1)), "of"))
     blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
     blocked = blocked.select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "member", "block", "near", "distance")
-    joined = blocked.join(sets.withColumnRenamed("id", "member"), "member").select("pivot", "i", "j", "member", "block", "near", "distance", "shingles")
+    joined = blocked.join(sets.withColumnRenamed("id", "member").hint("merge"), "member").select("pivot", "i", "j", "member", "block", "near", "distance", "shingles")
     again = joined.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(_within, "a long, b long")
     return materialize(distances.where("near").select(F.col("pivot").alias("a"), F.col("member").alias("b")).union(again))
 
