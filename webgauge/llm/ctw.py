@@ -43,11 +43,11 @@ from .common import materialize, read, remainder
 DEPTH = 5
 START, END = 0xFE, 0xFF  # no byte of UTF-8
 HOT_WORDS = 1 << 18
-HOT_GRAMS = 1 << 21
+HOT_GRAMS = 1 << 20
 ADD = 0.1
-MERGE = 1_500_000  # distinct entries held by a task before they are sent on
+MERGE = 1_000_000  # distinct entries held by a task before they are sent on
 SEND = 500_000  # occurrences of other entries held by a task
-PIECE = 2 << 20
+PIECE = 1 << 19
 U = np.uint64
 
 _LOG_HALF = float(np.log(0.5))
@@ -456,7 +456,9 @@ def score_documents(docs: DataFrame, held_out, depth: int = DEPTH, text: str = "
     first = materialize(numbered.mapInArrow(_score(parts, depth, hot), _SCORED_SQL))
     sent = first.where("kind >= 0").select("kind", "part", "keys", "rids", "times")
     added = counted.select("kind", "part", "keys", "counts").groupBy("kind", "part").cogroup(sent.groupBy("kind", "part")).applyInArrow(_add_cold(depth, upper), "rid long, known long, base double, score double")
-    added = added.groupBy("rid").agg(*[F.sum(c).alias(f"more_{c}") for c in ("known", "base", "score")])
+    added = materialize(added.groupBy("rid").agg(*[F.sum(c).alias(f"more_{c}") for c in ("known", "base", "score")]))
+    hot.destroy()
+    upper.destroy()
     rows = first.where("kind < 0").select("rid", "doc_id", "held_out", "words", "known", "base", "score").join(added, "rid", "left")
     sure = lambda c: F.col(c) + F.coalesce(F.col(f"more_{c}"), F.lit(0))
     tokens = F.col("words") + 1
