@@ -59,18 +59,18 @@ def documents(rng):
 
 
 def test_equals_brute_force(spark):
-    sizes = jaccard.CHUNK, jaccard.BLOCK, jaccard.SLICE
+    sizes = jaccard.CHUNK, jaccard.BLOCK, jaccard.SLICE, jaccard.PAIR_SLICE
     rng = random.Random(11)
     try:
         for chunk, block, size in ((128, 512, 2_000_000), (4, 8, 900)):
-            jaccard.CHUNK, jaccard.BLOCK, jaccard.SLICE = chunk, block, size
+            jaccard.CHUNK, jaccard.BLOCK, jaccard.SLICE, jaccard.PAIR_SLICE = chunk, block, size, size
             rows = documents(rng)
             rows += [(None, rows[0][1]), rows[1], (None, "lonely words without any number")]
             df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).selectExpr("*", "1 as key", "2 as id", "3 as n")
             got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_documents(df).collect()), key=str)
             assert got == sorted(plain(rows), key=str)
     finally:
-        jaccard.CHUNK, jaccard.BLOCK, jaccard.SLICE = sizes
+        jaccard.CHUNK, jaccard.BLOCK, jaccard.SLICE, jaccard.PAIR_SLICE = sizes
     assert jaccard.similar_documents(df.limit(0)).count() == 0
 
 

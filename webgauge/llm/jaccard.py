@@ -59,6 +59,7 @@ from .common import components, materialize, read, row_key
 
 WIDTH = 5
 SLICE = 2_000_000  # shingles handled at once
+PAIR_SLICE = 4_000_000  # and among classes that may have a partner: the larger, the fewer regions a class is in
 ORDER_SIZE = 1 << 20
 CHUNK = 128
 BLOCK = 512
@@ -173,7 +174,7 @@ def _runs(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _prefixes(sets: Iterator[tuple[int, np.ndarray]], order, which: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _prefixes(sets: Iterator[tuple[int, np.ndarray]], order, which: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of prefix shingles: (shingles in sorted order, index of the owner, ids of owners)."""
     frequent, magnitude = order
     shingles: list[np.ndarray] = []
@@ -196,7 +197,7 @@ def _prefixes(sets: Iterator[tuple[int, np.ndarray]], order, which: int) -> Iter
         shingles.append(s)
         owners[me] = None
         size += long
-        if size > SLICE or len(owners) > 30_000:
+        if size > most or len(owners) > 30_000:
             yield slice_()
             shingles, owners, size = [], {}, 0
     if owners:
@@ -239,7 +240,7 @@ def _long_prefixes(parts: int, shared):
     have classes with the number of their shingles that met another class in the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, (s, who, ids) in enumerate(_prefixes(_sets_of(batches), shared.value, 1)):
+        for turn, (s, who, ids) in enumerate(_prefixes(_sets_of(batches), shared.value, 1, SLICE)):
             starts, run_of = _runs(s)
             met = (np.diff(np.append(starts, len(s))) > 1)[run_of]
             count = np.bincount(who[met], minlength=len(ids))
@@ -277,7 +278,7 @@ def _first_prefixes(parts: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = ((i, np.frombuffer(s.as_buffer(), np.uint64)) for b in batches for i, s in zip(b.column(0).to_pylist(), b.column(1), strict=True))
-        for turn, (s, who, ids) in enumerate(_prefixes(sets, shared.value, 0)):
+        for turn, (s, who, ids) in enumerate(_prefixes(sets, shared.value, 0, PAIR_SLICE)):
             starts, run_of = _runs(s)
             pairs = _distinct_pairs(ids[who], ids[who[starts]][run_of])
             yield from _packed(parts, turn, s[starts], who[starts], ids, pairs[:, 0], pairs[:, 1])
@@ -396,8 +397,8 @@ def links(docs: DataFrame, profile: DataFrame, classes: DataFrame, text: str) ->
 
     sets = docs.select("key", text).mapInArrow(_member_sets(_key_filter(spark, able.select(F.col("its").alias("key")))), "key long, id long, shingles binary")
     sets = materialize(sets.join(able.hint("merge"), "id").where("key = its").groupBy("id").agg(F.min("shingles").alias("shingles")))
-    few = (able.agg(F.sum("n")).first()[0] or 0) // (4 * SLICE) + 1  # slices as large as they may be: a class then leads few regions
-    met = sets.coalesce(int(few)).mapInArrow(_first_prefixes(parts, order), _PACKED_SQL).groupBy("part").applyInArrow(_meet, "member long, region long, far boolean")
+    few = int((able.agg(F.sum("n")).first()[0] or 0) // (4 * PAIR_SLICE)) + 1  # so many slices that each is full
+    met = sets.coalesce(few).mapInArrow(_first_prefixes(6 + 4 * few, order), _PACKED_SQL).groupBy("part").applyInArrow(_meet, "member long, region long, far boolean")
     met = materialize(met.distinct())
     local, far = met.where("not far").drop("far"), met.where("far").drop("far")
     through = local.join(far.select(F.col("member").alias("region"), F.col("region").alias("top")), "region").select("member", F.col("top").alias("region"))
