@@ -206,7 +206,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     cuts = repeated_runs(docs, min_words, text, doc_id)
     docs = docs.drop("n_removed_lines")
     keyed = docs.withColumn("_cut_key", row_key(doc_id, text))
-    joined = keyed.join(cuts.withColumnsRenamed({"key": "_cut_key", "removed": "_cut", "n_removed": "_cut_n"}), "_cut_key", "left")
+    # always by shuffle: how many documents are cut grows with the corpus, so no size is the right one to broadcast
+    joined = keyed.join(cuts.withColumnsRenamed({"key": "_cut_key", "removed": "_cut", "n_removed": "_cut_n"}).hint("merge"), "_cut_key", "left")
     joined = joined.select(*docs.columns, F.coalesce("_cut_n", F.lit(0)).alias("n_removed_lines"), "_cut")
     names = [*docs.columns, "n_removed_lines"]
     return joined.mapInArrow(_rewrite(docs.columns.index(text), names), joined.drop("_cut").schema)
