@@ -60,6 +60,15 @@ def test_leaks(spark):
     assert D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_verbatim_windows_count_whatever_else_changed(spark):
+    first = ITEMS[0][1]
+    mixed = first.replace("gave 12", "gave 99")
+    docs = [(1, mixed), (2, mixed.replace("Anna Meier", "Paul Weber")), (3, mixed.replace("bought 12", "bought 33").replace("Anna Meier", "Paul Weber").replace("19", "80"))]
+    got = {r.doc_id: (r.n_windows, r.verbatim) for r in leaks(spark, docs).collect()}
+    equal = lambda text: sum(text.split()[k : k + 8] == first.split()[k : k + 8] for k in range(len(first.split()) - 7))
+    assert got == {d: (equal(text), True) for d, text in docs[:2]}  # in document 3 12 stands for 33 and for 99, and no window is verbatim
+
+
 def test_equals_brute_force(spark):
     d = "/root/testdata/sf0.001"
     docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))

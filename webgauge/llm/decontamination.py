@@ -5,13 +5,14 @@ number slot, a unit behind a number a unit slot, a capitalised word inside a sen
 a name slot; other words are lower-cased and lose their punctuation.  Windows of
 ``WIDTH`` template words of the documents are hash-joined with those of the benchmark
 items (an item of 4 to 7 words is one window).  Windows of one document and item on
-one diagonal form a passage.  A passage counts as a leak if
+one diagonal form a passage.  As leaks count
 
-* its slots are consistent: each slot value of the item stands for one value of the
-  document wherever it occurs, so a question with other numbers or names is caught and
-  a chance meeting of slots is not; and
-* it is verbatim up to case and punctuation (all slot values equal), or it covers
-  ``LITERALS`` words that are no slots.
+* every window that is verbatim up to case and punctuation (all its slot values equal),
+  whatever the rest of its passage holds; and
+* the windows of a passage with other slot values, if these are consistent (each slot
+  value of the item stands for one value of the document all over the passage, so a
+  question with other numbers or names is caught and a chance meeting of slots is not)
+  and the passage covers ``LITERALS`` words that are no slots.
 
 Plan: one scan of the documents, with the canonical words, the window hashes, the
 explode and the join to the benchmark in a single stage without a shuffle while the
@@ -107,19 +108,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, litera
     matches = found[0]
     for more in found[1:]:
         matches = matches.union(more)
-    matches = materialize(matches.dropDuplicates(["key", "doc_id", "item_id", "shift", "item_pos", "of"]))
     passage = ["key", "doc_id", "item_id", "shift", "of"]
+    best = F.max(F.struct("same", "plain", "slots")).alias("best")
+    matches = materialize(matches.groupBy(*passage, "item_pos").agg(best).select(*passage, "item_pos", "best.*"))
     slots = matches.where(F.size("slots") > 0).select(*passage, F.explode("slots").alias("slot"))
     values = slots.groupBy(*passage, F.col("slot.theirs").alias("theirs")).agg(F.min("slot.ours").alias("low"), F.max("slot.ours").alias("high"))
-    judged = values.groupBy(*passage).agg(
-        F.bool_and(F.col("low") == F.col("high")).alias("consistent"), F.bool_and((F.col("low") == F.col("theirs")) & (F.col("high") == F.col("theirs"))).alias("same")
-    )
-    covered = matches.select(*passage, "item_pos", F.explode("plain").alias("word"))
-    passages = covered.groupBy(*passage).agg(F.countDistinct("item_pos").alias("windows"), F.countDistinct("word").alias("literals"))
-    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"j.{c}")) for c in passage]
-    both = passages.alias("p").join(judged.alias("j"), same, "left").select("p.*", F.coalesce("consistent", F.lit(True)).alias("consistent"), F.coalesce("same", F.lit(True)).alias("same"))
-    good = both.where(F.col("consistent") & (F.col("same") | (F.col("literals") >= literals)))
-    return good.groupBy("key", "doc_id", "item_id").agg(F.sum("windows").alias("n_windows"), F.max("of").cast("long").alias("n_item_windows"), F.bool_or("same").alias("verbatim"))
+    judged = values.groupBy(*passage).agg(F.bool_and(F.col("low") == F.col("high")).alias("consistent"))
+    covered = matches.select(*passage, "item_pos", "same", F.explode_outer("plain").alias("word"))
+    spots = lambda same: F.countDistinct(F.when(F.col("same") == F.lit(same), F.col("item_pos")))
+    passages = covered.groupBy(*passage).agg(spots(True).alias("verbatim"), spots(False).alias("changed"), F.countDistinct("word").alias("literals"))
+    alike = [F.col(f"p.{c}").eqNullSafe(F.col(f"j.{c}")) for c in passage]
+    both = passages.alias("p").join(judged.alias("j"), alike, "left").select("p.*", F.coalesce("consistent", F.lit(True)).alias("consistent"))
+    counts = F.col("consistent") & (F.col("literals") >= literals)
+    good = both.withColumn("windows", F.col("verbatim") + F.when(counts, F.col("changed")).otherwise(0)).where("windows > 0")
+    return good.groupBy("key", "doc_id", "item_id").agg(F.sum("windows").alias("n_windows"), F.max("of").cast("long").alias("n_item_windows"), F.bool_or(F.col("verbatim") > 0).alias("verbatim"))
 
 
 def _matches(rows: DataFrame, items: DataFrame, width: int, exactly: int) -> DataFrame:
@@ -152,7 +154,7 @@ def _matches(rows: DataFrame, items: DataFrame, width: int, exactly: int) -> Dat
     )
     return joined.select("key", "doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "of", "plain", "item_words", "item_raw", raw.alias("ours")).select(
         "key", "doc_id", "item_id", "shift", "item_pos", "of", "plain", slots.alias("slots")
-    )
+    ).withColumn("same", F.forall("slots", lambda s: s["theirs"] == s["ours"]))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
