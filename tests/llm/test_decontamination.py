@@ -69,6 +69,18 @@ def test_verbatim_windows_count_whatever_else_changed(spark):
     assert got == {d: (equal(text), True) for d, text in docs[:2]}  # in document 3 12 stands for 33 and for 99, and no window is verbatim
 
 
+def test_other_numbers_in_items_of_few_plain_words(spark):
+    items = [(1, "What is 15 percent of 240 dollars in total?"), (2, "How many eggs are 3 dozen"), (3, "Tom has 9 red pens and Eva has 4 blue pens in a box")]
+    docs = [
+        (1, "Well, what is 20 percent of 300 dollars in total? Sixty"),
+        (2, "so how many eggs are 7 dozen then"),
+        (3, "what is 20 percent of 300 dollars in a year"),  # not the whole item
+        (4, "and has 5 red pens and Ida has 6 blue pencils"),  # eight words with other values, six of them plain
+        (5, "what is 20 percent of"),
+    ]
+    assert {(r.doc_id, r.item_id, r.verbatim) for r in leaks(spark, docs, items).collect()} == {(1, 1, False), (2, 2, False)}
+
+
 def test_equals_brute_force(spark):
     d = "/root/testdata/sf0.001"
     docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))

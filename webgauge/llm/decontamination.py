@@ -12,7 +12,8 @@ one diagonal form a passage.  As leaks count
 * the windows of a passage with other slot values, if these are consistent (each slot
   value of the item stands for one value of the document all over the passage, so a
   question with other numbers or names is caught and a chance meeting of slots is not)
-  and the passage covers ``LITERALS`` words that are no slots.
+  and the passage covers ``LITERALS`` words that are no slots, or, of an item whose
+  windows hold fewer, all of them.
 
 Plan: one scan of the documents, with the canonical words, the window hashes, the
 explode and the join to the benchmark in a single stage without a shuffle while the
@@ -109,17 +110,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, litera
     for more in found[1:]:
         matches = matches.union(more)
     passage = ["key", "doc_id", "item_id", "shift", "of"]
-    best = F.max(F.struct("same", "plain", "slots")).alias("best")
+    best = F.max(F.struct("same", "plain", "slots", "most")).alias("best")
     matches = materialize(matches.groupBy(*passage, "item_pos").agg(best).select(*passage, "item_pos", "best.*"))
     slots = matches.where(F.size("slots") > 0).select(*passage, F.explode("slots").alias("slot"))
     values = slots.groupBy(*passage, F.col("slot.theirs").alias("theirs")).agg(F.min("slot.ours").alias("low"), F.max("slot.ours").alias("high"))
     judged = values.groupBy(*passage).agg(F.bool_and(F.col("low") == F.col("high")).alias("consistent"))
-    covered = matches.select(*passage, "item_pos", "same", F.explode_outer("plain").alias("word"))
+    covered = matches.select(*passage, "item_pos", "same", "most", F.explode_outer("plain").alias("word"))
     spots = lambda same: F.countDistinct(F.when(F.col("same") == F.lit(same), F.col("item_pos")))
-    passages = covered.groupBy(*passage).agg(spots(True).alias("verbatim"), spots(False).alias("changed"), F.countDistinct("word").alias("literals"))
+    passages = covered.groupBy(*passage).agg(spots(True).alias("verbatim"), spots(False).alias("changed"), F.countDistinct("word").alias("literals"), F.max("most").alias("most"))
     alike = [F.col(f"p.{c}").eqNullSafe(F.col(f"j.{c}")) for c in passage]
     both = passages.alias("p").join(judged.alias("j"), alike, "left").select("p.*", F.coalesce("consistent", F.lit(True)).alias("consistent"))
-    counts = F.col("consistent") & (F.col("literals") >= literals)
+    counts = F.col("consistent") & (F.col("literals") >= F.least(F.lit(literals), "most"))
     good = both.withColumn("windows", F.col("verbatim") + F.when(counts, F.col("changed")).otherwise(0)).where("windows > 0")
     return good.groupBy("key", "doc_id", "item_id").agg(F.sum("windows").alias("n_windows"), F.max("of").cast("long").alias("n_item_windows"), F.bool_or(F.col("verbatim") > 0).alias("verbatim"))
 
@@ -133,6 +134,7 @@ def _matches(rows: DataFrame, items: DataFrame, width: int, exactly: int) -> Dat
     spots = F.sequence(F.lit(0), F.lit(width - 1))
     theirs = theirs.select(
         "item_id",
+        F.xxhash64("words").alias("item"),
         F.col("hash").alias("item_hash"),
         F.col("pos").alias("item_pos"),
         (F.size("words") - (width - 1)).alias("of"),
@@ -141,6 +143,8 @@ def _matches(rows: DataFrame, items: DataFrame, width: int, exactly: int) -> Dat
     )
     plain = F.filter(spots, lambda k: (~F.element_at("item_words", k + 1).startswith("\u0001")) & (F.element_at("item_words", k + 1) != ""))
     theirs = materialize(theirs.withColumn("plain", F.transform(plain, lambda k: k + F.col("item_pos"))).where(F.size("plain") >= LEAST).distinct())
+    most = theirs.select("item", F.explode("plain").alias("word")).groupBy("item").agg(F.countDistinct("word").alias("most"))
+    theirs = materialize(theirs.join(most, "item").drop("item"))
     few = theirs.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     ours = _windows(rows, width, ["key", "doc_id"])
     joined = ours.join(F.broadcast(theirs) if few else theirs, F.col("hash") == F.col("item_hash"))
@@ -152,8 +156,8 @@ def _matches(rows: DataFrame, items: DataFrame, width: int, exactly: int) -> Dat
             F.concat(F.element_at("item_words", k + 1), _slot(F.element_at("ours", k + 1))).alias("ours"),
         ),
     )
-    return joined.select("key", "doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "of", "plain", "item_words", "item_raw", raw.alias("ours")).select(
-        "key", "doc_id", "item_id", "shift", "item_pos", "of", "plain", slots.alias("slots")
+    return joined.select("key", "doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "of", "plain", "most", "item_words", "item_raw", raw.alias("ours")).select(
+        "key", "doc_id", "item_id", "shift", "item_pos", "of", "plain", "most", slots.alias("slots")
     ).withColumn("same", F.forall("slots", lambda s: s["theirs"] == s["ours"]))
 
 
