@@ -81,6 +81,21 @@ def test_other_numbers_in_items_of_few_plain_words(spark):
     assert {(r.doc_id, r.item_id, r.verbatim) for r in leaks(spark, docs, items).collect()} == {(1, 1, False), (2, 2, False)}
 
 
+def test_verbatim_windows_of_numbers_and_names(spark):
+    items = [(1, "Compute 12 + 34 - 56 * 78 + 90 - 11 and give the result as one whole number"), (2, "What is 12 times 1.5"), (3, "9 - 8 - 7"), (4, "- - - - - - - - - -")]
+    docs = [
+        (1, "so Compute 12 + 34 - 56 * 78, you"),
+        (2, "so compute 12 * 34 - 56 * 78, you"),
+        (3, "so compute 12 + 34 - 5.6 * 78, you"),
+        (4, "or: (what is 12 times 1.5?)"),
+        (5, "or what is 12 times 15"),
+        (6, "it is 9 - 8 - 7 here"),
+        (7, "- - - - - - - - - -"),
+        (8, "x - 56 * 78 + 90 - 11 y"),
+    ]
+    assert {(r.doc_id, r.item_id, r.n_windows, r.verbatim) for r in leaks(spark, docs, items).collect()} == {(1, 1, 1, True), (4, 2, 1, True), (6, 3, 1, True), (8, 1, 1, True)}
+
+
 def test_equals_brute_force(spark):
     d = "/root/testdata/sf0.001"
     docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))

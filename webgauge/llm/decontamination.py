@@ -20,8 +20,12 @@ explode and the join to the benchmark in a single stage without a shuffle while
 benchmark's windows are few enough to be broadcast (counted first, ``BROADCAST_WINDOWS``
 at most; a hash join on the window otherwise).  Only matches go further.
 
-Edge cases: null and empty texts have no windows; items of fewer than four words, or
-whose windows have fewer than four plain words, cannot match by them; null ids take
+Windows of fewer than ``LEAST`` plain words are no evidence with other slot values; they
+are joined by their bare words (lower-cased, without punctuation) and count if numbers and
+lone operators agree too.
+
+Edge cases: null and empty texts have no windows; items of fewer than ``LEAST`` words do
+not take part, nor do windows with fewer words and operators together; null ids take
 part; rows repeated in full are reported once by ``find_leaks`` and removed alike by
 ``drop_leaks``; empty tables give no leaks; extra columns are kept.
 """
@@ -38,6 +42,7 @@ LEAST = 4  # plain words that a window needs
 LITERALS = 8
 BROADCAST_WINDOWS = 500_000
 UNITS = "mm|cm|dm|m|km|in|ft|yd|mi|mg|g|kg|t|lb|oz|ml|cl|l|gal|s|sec|min|h|hr|hours?|days?|weeks?|months?|years?|hz|khz|mhz|ghz|w|kw|v|a|k|c|f|pa|bar|kb|mb|gb|tb|mph|kmh|eur|usd|gbp|euros?|dollars?|cents?|percent|degrees?|meters?|metres?|miles?|grams?|kilograms?|litres?|liters?"
+OPERATOR = "^[^\\p{L}\\p{N}]*[-+*/=<>^%\u00d7\u00f7\u2212][^\\p{L}\\p{N}]*$"  # a word that is an operator
 NUMBER, UNIT, NAME = "\u0001n", "\u0001u", "\u0001p"
 
 _NAME = (
@@ -61,15 +66,15 @@ def template(spaced: Column) -> Column:
     return F.regexp_replace(F.lower(united), "[^\\p{L}\\p{N}\u0001 ]+", "")
 
 
-def with_window_hashes(rows: DataFrame, width: int) -> DataFrame:
-    """rows with ``hashes``, of all runs of ``width`` (1 to 8) of its ``words``, by doubling.
+def with_window_hashes(rows: DataFrame, width: int, of: str = "words", name: str = "hashes") -> DataFrame:
+    """rows with ``name``, the hashes of all runs of ``width`` (1 to 8) of the words in ``of``, by doubling.
 
     Each doubling is a column of its own, which is used twice, so that it is computed once.
     """
     others = rows.columns
     pair = lambda a, b: F.xxhash64(a, b)
     ahead = lambda name, n: F.slice(name, n + 1, F.greatest(F.size(name), F.lit(1)))
-    rows = rows.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w)))
+    rows = rows.withColumn("h1", F.transform(of, lambda w: F.xxhash64(w)))
     have = 1
     while 2 * have <= width:
         rows = rows.withColumn(f"h{2 * have}", F.zip_with(f"h{have}", ahead(f"h{have}", have), pair))
@@ -79,24 +84,34 @@ def with_window_hashes(rows: DataFrame, width: int) -> DataFrame:
         if have + n <= width:
             hashes = F.zip_with(hashes, ahead(f"h{n}", have), pair)
             have += n
-    return rows.select(*others, F.slice(hashes, 1, F.greatest(F.size("words") - (width - 1), F.lit(0))).alias("hashes"))
+    return rows.select(*others, F.slice(hashes, 1, F.greatest(F.size(of) - (width - 1), F.lit(0))).alias(name))
 
 
 def _windows(rows: DataFrame, width: int, keep: list[str]) -> DataFrame:
-    """keep columns, raw and template words of the text, and pos and hash of each window.
+    """keep columns, raw, template and bare words of the text, and pos and hash of each window.
 
+    Each position has two windows, of template words and of bare ones (lower-cased, with
+    neither slots nor punctuation); ``bare_hash`` says which of them a row is.
     The outer explode gives a text without windows a row with a null hash, which joins
     with nothing; the inner one would compute all hashes a second time, to filter by them.
     """
     spaced = rows.select(*keep, plain_words(F.col("text")).alias("spaced"))
-    split = spaced.select(*keep, F.split("spaced", " ").alias("raw"), F.split(template(F.col("spaced")), " ").alias("words"))
-    return with_window_hashes(split, width).select(*keep, "raw", "words", F.posexplode_outer("hashes").alias("pos", "hash"))
+    bare = F.regexp_replace(F.lower("spaced"), "[^\\p{L}\\p{N} ]+", "")
+    split = spaced.select(*keep, F.split("spaced", " ").alias("raw"), F.split(template(F.col("spaced")), " ").alias("words"), F.split(bare, " ").alias("bare"))
+    hashed = with_window_hashes(with_window_hashes(split, width), width, "bare", "bare_hashes")
+    both = hashed.select(*keep, "raw", "words", "bare", F.size("hashes").alias("n"), F.posexplode_outer(F.concat("hashes", "bare_hashes")).alias("at", "hash"))
+    return both.select(*keep, "raw", "words", "bare", (F.col("at") >= F.col("n")).alias("bare_hash"), F.when(F.col("at") >= F.col("n"), F.col("at") - F.col("n")).otherwise(F.col("at")).alias("pos"), "hash")
 
 
 def _slot(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}%]+$", ""))
 
 
+def _exact(word: Column) -> Column:
+    """What two words with the same letters and digits must have alike: numbers their inner punctuation, lone operators all."""
+    return F.when(word.rlike("[0-9]"), _slot(word)).when(word.rlike(OPERATOR), word).otherwise("")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS) -> DataFrame:
     """(key, doc_id, item_id, n_windows, n_item_windows, verbatim) of documents that hold a passage of an item."""
     items = benchmark.select("item_id", F.col("text").alias("text"))
@@ -130,35 +145,44 @@ def _matches(rows: DataFrame, items: DataFrame, width: int, exactly: int) -> Dat
     theirs = _windows(items, width, ["item_id"])
     theirs = theirs.where(F.col("hash").isNotNull())
     theirs = theirs.where(F.size("words") == exactly) if exactly else theirs
-    words = F.slice("words", F.col("pos") + 1, width)
+    part = lambda words: F.slice(words, F.col("pos") + 1, width)
     spots = F.sequence(F.lit(0), F.lit(width - 1))
     theirs = theirs.select(
         "item_id",
         F.xxhash64("words").alias("item"),
         F.col("hash").alias("item_hash"),
+        "bare_hash",
         F.col("pos").alias("item_pos"),
         (F.size("words") - (width - 1)).alias("of"),
-        F.slice("raw", F.col("pos") + 1, width).alias("item_raw"),
-        words.alias("item_words"),
+        part("raw").alias("item_raw"),
+        part("words").alias("item_words"),
+        part("bare").alias("item_bare"),
     )
     plain = F.filter(spots, lambda k: (~F.element_at("item_words", k + 1).startswith("\u0001")) & (F.element_at("item_words", k + 1) != ""))
-    theirs = materialize(theirs.withColumn("plain", F.transform(plain, lambda k: k + F.col("item_pos"))).where(F.size("plain") >= LEAST).distinct())
-    most = theirs.select("item", F.explode("plain").alias("word")).groupBy("item").agg(F.countDistinct("word").alias("most"))
-    theirs = materialize(theirs.join(most, "item").drop("item"))
+    spoken = F.size(F.filter("item_bare", lambda w: w != ""))
+    operators = F.size(F.filter("item_raw", lambda w: w.rlike(OPERATOR)))
+    theirs = theirs.withColumn("plain", F.transform(plain, lambda k: k + F.col("item_pos")))
+    slotless = F.forall("item_words", lambda w: ~w.startswith("\u0001"))
+    theirs = theirs.withColumn("bare_hash", F.col("bare_hash") | slotless)  # one hash for both if there are no slots
+    theirs = materialize(theirs.where(F.when(F.col("bare_hash"), (spoken >= 2) & (spoken + operators >= LEAST) & (slotless | (F.size("plain") < LEAST))).otherwise(F.size("plain") >= LEAST)).distinct())
+    most = theirs.where(F.size("plain") >= LEAST).select("item", F.explode("plain").alias("word")).groupBy("item").agg(F.countDistinct("word").alias("most"))
+    theirs = materialize(theirs.join(most, "item", "left").drop("item", "item_bare").withColumnRenamed("bare_hash", "exact"))
     few = theirs.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     ours = _windows(rows, width, ["key", "doc_id"])
     joined = ours.join(F.broadcast(theirs) if few else theirs, F.col("hash") == F.col("item_hash"))
-    raw = F.slice("raw", F.col("pos") + 1, width)
     slots = F.transform(
-        F.filter(spots, lambda k: F.element_at("item_words", k + 1).startswith("\u0001")),
+        F.filter(spots, lambda k: (~F.col("exact")) & F.element_at("item_words", k + 1).startswith("\u0001")),
         lambda k: F.struct(
             F.concat(F.element_at("item_words", k + 1), _slot(F.element_at("item_raw", k + 1))).alias("theirs"),
             F.concat(F.element_at("item_words", k + 1), _slot(F.element_at("ours", k + 1))).alias("ours"),
         ),
     )
-    return joined.select("key", "doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "of", "plain", "most", "item_words", "item_raw", raw.alias("ours")).select(
-        "key", "doc_id", "item_id", "shift", "item_pos", "of", "plain", "most", slots.alias("slots")
-    ).withColumn("same", F.forall("slots", lambda s: s["theirs"] == s["ours"]))
+    passage = ["key", "doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "of", "plain", "most"]
+    found = joined.select(*passage, "exact", "item_words", "item_raw", part("raw").alias("ours"))
+    plainly = F.size("plain") >= LEAST  # punctuation aside, as with the template
+    alike = F.forall(F.zip_with("item_raw", "ours", lambda a, b: _exact(a) == _exact(b)), lambda x: x)
+    found = found.where(~F.col("exact") | (plainly & slotless) | alike)
+    return found.select(*passage[:3], "shift", "item_pos", "of", "plain", "most", slots.alias("slots")).withColumn("same", F.forall("slots", lambda s: s["theirs"] == s["ours"]))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
