@@ -96,6 +96,12 @@ def test_verbatim_windows_of_numbers_and_names(spark):
     assert {(r.doc_id, r.item_id, r.n_windows, r.verbatim) for r in leaks(spark, docs, items).collect()} == {(1, 1, 1, True), (4, 2, 1, True), (6, 3, 1, True), (8, 1, 1, True)}
 
 
+def test_recased_copies(spark):
+    items = [(1, "When did Alice meet Bob near Paris and Rome with Carl or Dora in Oslo")]
+    docs = [(k, f"x {text} y") for k, text in enumerate([items[0][1], items[0][1].lower(), items[0][1].upper(), items[0][1].title()])]
+    assert {(r.doc_id, r.n_windows, r.verbatim) for r in leaks(spark, docs, items).collect()} == {(k, 8, True) for k in range(4)}
+
+
 def test_equals_brute_force(spark):
     d = "/root/testdata/sf0.001"
     docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))

@@ -15,14 +15,15 @@ one diagonal form a passage.  As leaks count
   and the passage covers ``LITERALS`` words that are no slots, or, of an item whose
   windows hold fewer, all of them.
 
-Plan: one scan of the documents, with the canonical words, the window hashes, the
-explode and the join to the benchmark in a single stage without a shuffle while the
+Plan: two scans of the documents, for templates and for bare words, each with the words, the
+window hashes, the explode and the join to the benchmark in a stage without a shuffle while the
 benchmark's windows are few enough to be broadcast (counted first, ``BROADCAST_WINDOWS``
 at most; a hash join on the window otherwise).  Only matches go further.
 
-Windows of fewer than ``LEAST`` plain words are no evidence with other slot values; they
-are joined by their bare words (lower-cased, without punctuation) and count if numbers and
-lone operators agree too.
+Every window is joined by its bare words (lower-cased, without punctuation or slots) as
+well and counts as verbatim if numbers and lone operators agree too: capitals decide what
+is a name, so a recased copy has another template.  Windows of fewer than ``LEAST`` plain
+words are joined in this way only, being no evidence with other slot values.
 
 Edge cases: null and empty texts have no windows; items of fewer than ``LEAST`` words do
 not take part, nor do windows with fewer words and operators together; null ids take
@@ -66,8 +67,8 @@ def template(spaced: Column) -> Column:
     return F.regexp_replace(F.lower(united), "[^\\p{L}\\p{N}\u0001 ]+", "")
 
 
-def with_window_hashes(rows: DataFrame, width: int, of: str = "words", name: str = "hashes") -> DataFrame:
-    """rows with ``name``, the hashes of all runs of ``width`` (1 to 8) of the words in ``of``, by doubling.
+def with_window_hashes(rows: DataFrame, width: int, of: str = "words") -> DataFrame:
+    """rows with ``hashes``, of all runs of ``width`` (1 to 8) of the words in ``of``, by doubling.
 
     Each doubling is a column of its own, which is used twice, so that it is computed once.
     """
@@ -84,23 +85,19 @@ def with_window_hashes(rows: DataFrame, width: int, of: str = "words", name: str
         if have + n <= width:
             hashes = F.zip_with(hashes, ahead(f"h{n}", have), pair)
             have += n
-    return rows.select(*others, F.slice(hashes, 1, F.greatest(F.size(of) - (width - 1), F.lit(0))).alias(name))
+    return rows.select(*others, F.slice(hashes, 1, F.greatest(F.size(of) - (width - 1), F.lit(0))).alias("hashes"))
 
 
-def _windows(rows: DataFrame, width: int, keep: list[str]) -> DataFrame:
-    """keep columns, raw, template and bare words of the text, and pos and hash of each window.
+def _windows(rows: DataFrame, width: int, keep: list[str], of: str) -> DataFrame:
+    """keep columns, raw, template and bare words of the text, and pos and hash of each window of its words ``of``.
 
-    Each position has two windows, of template words and of bare ones (lower-cased, with
-    neither slots nor punctuation); ``bare_hash`` says which of them a row is.
     The outer explode gives a text without windows a row with a null hash, which joins
     with nothing; the inner one would compute all hashes a second time, to filter by them.
     """
     spaced = rows.select(*keep, plain_words(F.col("text")).alias("spaced"))
     bare = F.regexp_replace(F.lower("spaced"), "[^\\p{L}\\p{N} ]+", "")
     split = spaced.select(*keep, F.split("spaced", " ").alias("raw"), F.split(template(F.col("spaced")), " ").alias("words"), F.split(bare, " ").alias("bare"))
-    hashed = with_window_hashes(with_window_hashes(split, width), width, "bare", "bare_hashes")
-    both = hashed.select(*keep, "raw", "words", "bare", F.size("hashes").alias("n"), F.posexplode_outer(F.concat("hashes", "bare_hashes")).alias("at", "hash"))
-    return both.select(*keep, "raw", "words", "bare", (F.col("at") >= F.col("n")).alias("bare_hash"), F.when(F.col("at") >= F.col("n"), F.col("at") - F.col("n")).otherwise(F.col("at")).alias("pos"), "hash")
+    return with_window_hashes(split, width, of).select(*keep, "raw", "words", "bare", F.posexplode_outer("hashes").alias("pos", "hash"))
 
 
 def _slot(word: Column) -> Column:
@@ -118,7 +115,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, litera
     sizes = items.select(F.size(F.split(plain_words(F.col("text")), " ")).alias("n")).where(F.col("n") >= LEAST)
     lengths = sorted(r[0] for r in sizes.select(F.least("n", F.lit(width)).alias("n")).distinct().collect())  # width - 3 values at most
     rows = docs.select(row_key("doc_id", "text").alias("key"), "doc_id", "text")
-    found = [_matches(rows, items, n, n if n < width else 0) for n in lengths]
+    found = [_matches(rows, items, n, n if n < width else 0, of) for n in lengths for of in ("words", "bare")]
     if not found:
         return rows.limit(0).select("key", "doc_id", F.lit(0).cast(items.schema["item_id"].dataType).alias("item_id"), *[F.lit(0).cast("long").alias(c) for c in ("n_windows", "n_item_windows")], F.lit(True).alias("verbatim"))
     matches = found[0]
@@ -126,7 +123,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, litera
         matches = matches.union(more)
     passage = ["key", "doc_id", "item_id", "shift", "of"]
     best = F.max(F.struct("same", "plain", "slots", "most")).alias("best")
-    matches = materialize(matches.groupBy(*passage, "item_pos").agg(best).select(*passage, "item_pos", "best.*"))
+    matches = materialize(matches.groupBy(*passage, "item_pos").agg(best).select(*passage, "item_pos", "best.*").where("same is not null"))
     slots = matches.where(F.size("slots") > 0).select(*passage, F.explode("slots").alias("slot"))
     values = slots.groupBy(*passage, F.col("slot.theirs").alias("theirs")).agg(F.min("slot.ours").alias("low"), F.max("slot.ours").alias("high"))
     judged = values.groupBy(*passage).agg(F.bool_and(F.col("low") == F.col("high")).alias("consistent"))
@@ -140,9 +137,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, litera
     return good.groupBy("key", "doc_id", "item_id").agg(F.sum("windows").alias("n_windows"), F.max("of").cast("long").alias("n_item_windows"), F.bool_or(F.col("verbatim") > 0).alias("verbatim"))
 
 
-def _matches(rows: DataFrame, items: DataFrame, width: int, exactly: int) -> DataFrame:
-    """Windows of documents that equal a window of an item; ``exactly``: only items of so many words."""
-    theirs = _windows(items, width, ["item_id"])
+def _matches(rows: DataFrame, items: DataFrame, width: int, exactly: int, of: str) -> DataFrame:
+    """Windows of documents that equal a window of an item in their words ``of``; ``exactly``: only items of so many words.
+
+    ``same`` says whether a window is verbatim; it is null if the window does not count.
+    """
+    theirs = _windows(items, width, ["item_id"], of)
     theirs = theirs.where(F.col("hash").isNotNull())
     theirs = theirs.where(F.size("words") == exactly) if exactly else theirs
     part = lambda words: F.slice(words, F.col("pos") + 1, width)
@@ -151,7 +151,6 @@ def _matches(rows: DataFrame, items: DataFrame, width: int, exactly: int) -> Dat
         "item_id",
         F.xxhash64("words").alias("item"),
         F.col("hash").alias("item_hash"),
-        "bare_hash",
         F.col("pos").alias("item_pos"),
         (F.size("words") - (width - 1)).alias("of"),
         part("raw").alias("item_raw"),
@@ -159,30 +158,34 @@ def _matches(rows: DataFrame, items: DataFrame, width: int, exactly: int) -> Dat
         part("bare").alias("item_bare"),
     )
     plain = F.filter(spots, lambda k: (~F.element_at("item_words", k + 1).startswith("\u0001")) & (F.element_at("item_words", k + 1) != ""))
-    spoken = F.size(F.filter("item_bare", lambda w: w != ""))
-    operators = F.size(F.filter("item_raw", lambda w: w.rlike(OPERATOR)))
     theirs = theirs.withColumn("plain", F.transform(plain, lambda k: k + F.col("item_pos")))
     slotless = F.forall("item_words", lambda w: ~w.startswith("\u0001"))
-    theirs = theirs.withColumn("bare_hash", F.col("bare_hash") | slotless)  # one hash for both if there are no slots
-    theirs = materialize(theirs.where(F.when(F.col("bare_hash"), (spoken >= 2) & (spoken + operators >= LEAST) & (slotless | (F.size("plain") < LEAST))).otherwise(F.size("plain") >= LEAST)).distinct())
+    theirs = theirs.withColumn("loose", slotless & (F.size("plain") >= LEAST))  # punctuation aside, as with the template
+    spoken = F.size(F.filter("item_bare", lambda w: w != ""))
+    operators = F.size(F.filter("item_raw", lambda w: w.rlike(OPERATOR)))
+    told = F.size("plain") >= LEAST if of == "words" else (spoken >= 2) & (spoken + operators >= LEAST)
+    theirs = materialize(theirs.where(told).drop("item_bare").distinct())
     most = theirs.where(F.size("plain") >= LEAST).select("item", F.explode("plain").alias("word")).groupBy("item").agg(F.countDistinct("word").alias("most"))
-    theirs = materialize(theirs.join(most, "item", "left").drop("item", "item_bare").withColumnRenamed("bare_hash", "exact"))
+    theirs = materialize(theirs.join(most, "item", "left").drop("item"))
     few = theirs.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    ours = _windows(rows, width, ["key", "doc_id"])
+    ours = _windows(rows, width, ["key", "doc_id"], of)
     joined = ours.join(F.broadcast(theirs) if few else theirs, F.col("hash") == F.col("item_hash"))
-    slots = F.transform(
-        F.filter(spots, lambda k: (~F.col("exact")) & F.element_at("item_words", k + 1).startswith("\u0001")),
-        lambda k: F.struct(
-            F.concat(F.element_at("item_words", k + 1), _slot(F.element_at("item_raw", k + 1))).alias("theirs"),
-            F.concat(F.element_at("item_words", k + 1), _slot(F.element_at("ours", k + 1))).alias("ours"),
-        ),
-    )
-    passage = ["key", "doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "of", "plain", "most"]
-    found = joined.select(*passage, "exact", "item_words", "item_raw", part("raw").alias("ours"))
-    plainly = F.size("plain") >= LEAST  # punctuation aside, as with the template
-    alike = F.forall(F.zip_with("item_raw", "ours", lambda a, b: _exact(a) == _exact(b)), lambda x: x)
-    found = found.where(~F.col("exact") | (plainly & slotless) | alike)
-    return found.select(*passage[:3], "shift", "item_pos", "of", "plain", "most", slots.alias("slots")).withColumn("same", F.forall("slots", lambda s: s["theirs"] == s["ours"]))
+    if of == "words":
+        slots = F.transform(
+            F.filter(spots, lambda k: F.element_at("item_words", k + 1).startswith("\u0001")),
+            lambda k: F.struct(
+                F.concat(F.element_at("item_words", k + 1), _slot(F.element_at("item_raw", k + 1))).alias("theirs"),
+                F.concat(F.element_at("item_words", k + 1), _slot(F.element_at("ours", k + 1))).alias("ours"),
+            ),
+        )
+        same = F.forall("slots", lambda s: s["theirs"] == s["ours"])
+    else:
+        slots = F.array().cast("array<struct<theirs:string,ours:string>>")
+        alike = F.forall(spots, lambda k: _exact(F.element_at("item_raw", k + 1)) == _exact(F.element_at("ours", k + 1)))
+        same = F.when(F.col("loose") | alike, True)
+    passage = ["key", "doc_id", "item_id", "shift", "item_pos", "of", "plain", "most"]
+    found = joined.select("key", "doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "of", "plain", "most", "loose", "item_words", "item_raw", part("raw").alias("ours"))
+    return found.select(*passage, "loose", "item_raw", "ours", slots.alias("slots")).select(*passage, "slots", same.alias("same"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
