@@ -19,6 +19,18 @@ def test_page_text():
         T.Page(broken)
 
 
+def test_wrappers_named_after_their_sidebar():
+    text = lambda source: (lambda p: p.text(p.kept(p.roots(None))))(T.Page(source))
+    side = '<div class="sidebar">s</div>'
+    for name in ("content-sidebar-wrap", "with-sidebar"):
+        for tag in ("main", "article", "div"):
+            assert text(f'<p>x<div class="{name}"><div class="outer with-menu"><{tag}><p>the text of the page</{tag}>{side}</div></div>') in ("the text of the page", "x\nthe text of the page")
+    assert text(f'<main class="with-sidebar"><p>the text{side}</main>') == "the text"
+    assert text('<div id="c"><p>short</div><div class="comments"><p>a much longer comment</div>') == "short"
+    assert text('<article><p>short</article><div class="related-posts"><article><p>a much longer text</article></div>') == "short"
+    assert text('<div class="content-sidebar-wrap"><main><p>text</main></div><div class="nav-menu"><p>menu</div>') == "text"
+
+
 def test_templates_of_a_host(spark):
     rows = [(k, "http://h.org/%d" % k, PAGE.replace("{n}", f"n{k}")) for k in range(6)]
     rows += [(10, "http://o.org/", "<body><p>only</p><footer>f</footer>"), (11, None, None), (12, "http://h.org/9", ""), (0, rows[0][1], rows[0][2])]

@@ -18,6 +18,7 @@ and whole blocks of text.
 3. Each page gives the text of that slot.  A page without it, or a host of fewer than
    ``PAGES`` pages, uses its own article or main element, or else its body.
 
+A class or id does not make a menu or sidebar of a wrapper that holds the main text.
 Within the slot, elements that are menus, footers, sidebars, notices, adverts, forms,
 scripts, styles or reader comments by tag, role or class are left out, nothing else.
 
@@ -69,6 +70,7 @@ _NOISE = (
     r"login|signup|search|popup|modal|overlay|widget|copyright|toolbar)(?:$|[\s_-])"
 )
 NOISE = re.compile(_NOISE, re.I)
+_WHOLE = re.compile(_NOISE.replace(r"(?:^|[\s_-])", r"(?:^|\s)").replace(r"(?:$|[\s_-])", r"(?:$|\s)"), re.I)  # a class or id as a whole
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -84,6 +86,7 @@ class Page:
 
     def __init__(self, source: str):
         self.labels, self.tags, self.parents, self.noise, self.header = [""], [""], [-1], [False], [False]
+        self._named: dict[int, bool] = {}  # elements that are noise by name alone, and whether a class or id as a whole is
         self.blocks: list[list[tuple[int, str]]] = []
         self._open: list[tuple[int, str]] = []
         stack = [0]
@@ -123,6 +126,36 @@ class Page:
                 continue
             stack.append(element)
         self._flush()
+        if self._named:
+            self._clear_wrappers()
+
+    def _clear_wrappers(self) -> None:
+        """Takes the mark of noise from wrappers that a name has marked but that hold the main text.
+
+        These are elements around a main element; and those that hold more text outside
+        of other noise than is main text otherwise, if no class or id as a whole marks them
+        and they do not stand beside an article or main element, or if they hold an article
+        and the page has no such element outside of noise.
+        """
+        size = [0] * len(self.tags)
+        for block in self.blocks:
+            for e, t in block:
+                size[e] += len("".join(t.split()))
+        roots = self.roots(None)
+        clear = self.kept(roots)
+        outside = sum(n for n, c in zip(size, clear, strict=True) if c)
+        holds_main, holds_article = [False] * len(self.tags), [False] * len(self.tags)
+        for k in range(len(self.tags) - 1, 0, -1):
+            if k in self._named:
+                holds = holds_article[k] or not self._named[k] if roots is None else not self._named[k] and self._under(k, roots)
+                by_text = size[k] > outside and holds
+                self.noise[k] = not (holds_main[k] or by_text)
+            if self.noise[k]:
+                continue
+            p = self.parents[k]
+            size[p] += size[k]
+            holds_main[p] |= holds_main[k] or self.tags[k] == "main"
+            holds_article[p] |= holds_article[k] or self.tags[k] == "article"
 
     def _element(self, tag: str, attributes: str, parent: int) -> int:
         names = {}
@@ -132,7 +165,10 @@ class Page:
                 names.setdefault(name, m.group(2) or m.group(3) or m.group(4) or "")
         kind = f"{names.get('class', '')} {names.get('id', '')}".strip()
         role = names.get("role", "").lower()
-        noise = tag in DROPPED or role in ROLES or "hidden" in names or bool(kind and tag not in ("html", "body") and NOISE.search(kind)) or bool(_HIDDEN.search(names.get("style", "")))
+        noise = tag in DROPPED or role in ROLES or "hidden" in names or bool(_HIDDEN.search(names.get("style", "")))
+        if not noise and kind and tag not in ("html", "body") and NOISE.search(kind):
+            noise = True
+            self._named[len(self.labels)] = bool(_WHOLE.search(kind))
         self.labels.append(tag + (f"#{names['id']}" if names.get("id") else "") + "".join(f".{c}" for c in names.get("class", "").split()))
         self.tags.append("main" if role == "main" else tag)
         self.parents.append(parent)
