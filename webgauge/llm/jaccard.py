@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .batches import blobs, groups, int64, pieces, split_by
-from .common import components, materialize, read, row_key
+from .common import components, key_filter, materialize, passes, read, row_key
 
 WIDTH = 5
 SLICE = 2_000_000  # shingles handled at once
@@ -63,7 +63,6 @@ PAIR_SLICE = 4_000_000  # and among classes that may have a partner: the larger,
 ORDER_SIZE = 1 << 20
 CHUNK = 128
 BLOCK = 512
-FILTER_BITS = 1 << 25
 
 
 def set_id(s: np.ndarray) -> int:
@@ -308,8 +307,7 @@ def _member_sets(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
         for batch in pieces(batches, 1):
-            at = int64(batch.column(0)).view(np.uint64) % np.uint64(FILTER_BITS)
-            keep = (wanted[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            keep = passes(wanted, int64(batch.column(0)).view(np.uint64))
             if not keep.any():
                 continue
             batch = batch.filter(pa.array(keep))
@@ -319,15 +317,6 @@ def _member_sets(shared):
     return run
 
 
-def _key_filter(spark: SparkSession, keys: DataFrame):
-    """A bitmap of FILTER_BITS bits over hashes of the keys: of fixed size; too many keys only let more rows pass."""
-    place = F.pmod(F.col("key"), F.lit(FILTER_BITS))  # agrees with unsigned % for a power of two
-    rows = keys.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, 64) as int))")).alias("b")).collect()
-    words = np.zeros(FILTER_BITS // 64, np.uint64)
-    words[[r[0] for r in rows]] = np.array([r[1] for r in rows], np.int64).view(np.uint64)
-    return spark.sparkContext.broadcast(words)
-
-
 def _overlaps(ids: np.ndarray, starts: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     """Size of the intersection of ``of`` with each set; sets are runs of ids from starts on."""
     flag = np.zeros(n, np.int32)
@@ -395,7 +384,7 @@ def links(docs: DataFrame, profile: DataFrame, classes: DataFrame, text: str) ->
     shared = shared.groupBy("bucket").applyInArrow(_sum_shared, "id long, shared long")
     able = materialize(shared.join(classes, "id").where(F.col("shared") >= shared_least(F.col("n"))).select("id", F.col("key").alias("its"), "n"))
 
-    sets = docs.select("key", text).mapInArrow(_member_sets(_key_filter(spark, able.select(F.col("its").alias("key")))), "key long, id long, shingles binary")
+    sets = docs.select("key", text).mapInArrow(_member_sets(key_filter(spark, able.select(F.col("its").alias("key")))), "key long, id long, shingles binary")
     sets = materialize(sets.join(able.hint("merge"), "id").where("key = its").groupBy("id").agg(F.min("shingles").alias("shingles")))
     few = int((able.agg(F.sum("n")).first()[0] or 0) // (4 * PAIR_SLICE)) + 1  # so many slices that each is full
     met = sets.coalesce(few).mapInArrow(_first_prefixes(6 + 4 * few, order), _PACKED_SQL).groupBy("part").applyInArrow(_meet, "member long, region long, far boolean")

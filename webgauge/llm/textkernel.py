@@ -23,6 +23,7 @@ U64 = np.uint64
 
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+IS_EDGE = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -110,23 +111,42 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tupl
 
 def words(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and for each text the offset of its first word (n + 1 offsets)."""
+    hashes, _, _, at = _hashed(column, _FOLDED_VALUES if fold else _BYTE_VALUES, False)
+    return hashes, at
+
+
+def cores(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Folded hashes of all words without the ASCII punctuation at their ends, the byte ranges
+    of these cores, and the offsets as in ``words``; a word of punctuation alone is hashed
+    whole and has an empty range."""
+    return _hashed(column, _FOLDED_VALUES, True)
+
+
+def _hashed(column: pa.Array, values: np.ndarray, trim: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = buffers(column)
-    values = _FOLDED_VALUES if fold else _BYTE_VALUES
-    hashes, places = [], []
+    hashes, begins, stops, places = [], [], [], []
     for lo, hi in spans(data, offsets):
         starts, ends = word_bounds(data, offsets, lo, hi)
         if not len(starts):
             continue
+        places.append(starts)
+        if trim:
+            inner = np.flatnonzero(~IS_EDGE[data[lo:hi]]) + lo
+            first, last = np.searchsorted(inner, starts), np.searchsorted(inner, ends)
+            some = first < last
+            inner = np.append(inner, 0)
+            a, b = np.where(some, inner[first], starts), np.where(some, inner[last - 1] + 1, starts)
+            begins.append(a)
+            stops.append(b)
+            starts, ends = np.where(some, a, starts), np.where(some, b, ends)
         power, inverse = _power_tables(hi - lo + 1)
         total = np.empty(hi - lo + 1, dtype=U64)
         total[0] = 0
         np.cumsum(values[data[lo:hi]] * power[: hi - lo], out=total[1:])
         hashes.append(mix((total[ends - lo] - total[starts - lo]) * inverse[starts - lo] + (ends - starts).astype(U64)))
-        places.append(starts)
-    if not hashes:
-        return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
-    at = np.concatenate(places)
-    return np.concatenate(hashes), np.searchsorted(at, offsets, side="left").astype(np.int64)
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    at = np.searchsorted(join(places, np.int64), offsets, side="left").astype(np.int64)
+    return join(hashes, U64), join(begins, np.int64), join(stops, np.int64), at
 
 
 _SHINGLE = [U64(x | 1) for x in (0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
