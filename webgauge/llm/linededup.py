@@ -1,33 +1,41 @@
-"""Operator 7: line deduplication by prefix doubling over the corpus of lines.
+"""Operator 7: line deduplication by a suffix array over the corpus of lines.
 
 Lines become ids; a document is a sequence of ids and the corpus the concatenation
-of the documents in the order of doc_id.  Suffixes that begin with the same lines
-form an interval of the suffix array, whose LCP value is the number of those lines.
-Prefix doubling names runs: a run of 2**(k + 1) lines is named by the names of its
-halves, and a run of any length by the two runs of 2**k lines that cover it.
-Suffixes of one name are an interval; their order within it is not needed, as all
-that counts is its earliest position.
+of the documents in the order of doc_id.  Its suffixes are sorted by distributed prefix
+doubling: the rank of a suffix by its first 2**(k + 1) lines comes from the pair of
+ranks, by 2**k lines, of itself and of the suffix 2**k lines on.  Suffixes that agree in
+their first lines are an interval of the suffix array, whose LCP value is the number
+of those lines; the interval of a run of any length is told by the ranks of
+the two runs of 2**k lines that cover it.
 
 1. Lines that occur once end every interval; what remains of a document are segments
    of repeated lines.  Segments of fewer than ``min_words`` words cannot hold a run
    that counts, and leave.
-2. Every position of a segment names two runs: the shortest of ``min_words`` words or
-   more that begins there, and the shortest that ends there.
-3. Each run is compared with the earliest position of its interval; at all later ones
-   it is a later copy.  A maximal repeated run of ``min_words`` words is the union of the
-   runs of step 2 inside it, so deleting these deletes just the maximal ones.
-
-Plan: one scan makes ids; shuffled are 8 bytes for each line, and names with positions
-for the segments only, aggregated before the shuffle and joined back on names (an
+2. Doubling rounds.  A round counts the pairs of ranks; a pair that occurs once is a suffix
+   sorted for good, an interval of one, and leaves.  The others are sorted over the cluster
+   (by range) and numbered in that order, which are the next ranks.  Rounds end when
+   2**(k + 1) lines are more than any suffix needs for ``min_words`` words.
+3. LCP intervals.  Every position of a segment names two runs: the shortest of ``min_words``
+   words or more that begins there, and the shortest that ends there.  Suffixes with such a
+   run in common are an interval whose LCP value is the run's length at least.  At all
+   but the earliest position of its interval a run is a later copy.  A maximal
+   repeated run of ``min_words`` words is the union of the runs inside it, so deleting
+   these deletes just the maximal ones.
+
+With ``min_words`` = 1 every repeated line with words goes; ``MIN_WORDS`` is the length from
+which a passage counts as one that was copied.
+
+Plan: one scan makes ids; shuffled are 8 bytes for each line, and ranks with positions
+for the segments only, counted before the shuffle and joined back by pair (an
 equi-join without aggregation above it, so that adaptive execution can split a hot
-name); at the end texts are joined to their deletions by key.
+pair); at the end texts are joined to their deletions by key.
 
 Edge cases: null text stays null and has no lines; an empty text is one blank line;
 blank lines count as lines without words; copies may overlap; rows alike in doc_id
 and text are one document for the search, and each of them gets its result; null
 doc_ids come last in the order of documents; a document whose every line is a later
 copy becomes an empty text; extra columns are kept as they are; an empty table gives
-no rows.
+no rows.  Lines are known by 64-bit hashes, documents by doc_id and a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -45,7 +53,6 @@ from .batches import pieces
 from .common import materialize, read, row_key
 
 MIN_WORDS = 50
-_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BLANK = b" \t\x0b\x0c\r"
 
 
@@ -74,21 +81,6 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([line_ids(t) for t in texts], pa.list_(pa.int64())), pa.array([line_words(t) for t in texts], pa.list_(pa.int64()))], schema=_LINES)
 
 
-def run_names(ids: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Names of the runs of ``length`` lines from ``at`` on, by prefix doubling."""
-    names = K.mix(ids.view(np.uint64))
-    out = np.zeros(len(at), np.uint64)
-    level = np.log2(length).astype(np.int64)
-    for k in range(int(level.max(initial=-1)) + 1):
-        if k:
-            half = 1 << (k - 1)
-            names = K.mix(names[:-half] * _LEFT + names[half:] * _RIGHT)
-        here = np.flatnonzero(level == k)
-        first, last = names[at[here]], names[at[here] + length[here] - (1 << k)]
-        out[here] = K.mix(first * _LEFT + last * _RIGHT + K.mix(length[here].astype(np.uint64)))
-    return out.view(np.int64)
-
-
 def windows(words: np.ndarray, lo: int, hi: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """The shortest runs of min_words words that begin, or end, at a line of lo..hi."""
     total = np.concatenate(([0], np.cumsum(words[lo:hi])))
@@ -104,57 +96,133 @@ def windows(words: np.ndarray, lo: int, hi: int, min_words: int) -> tuple[np.nda
     return both[:, 0] + lo, both[:, 1] - both[:, 0]
 
 
-_TESTS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("line", pa.int64()), ("length", pa.int64()), ("name", pa.int64())])
-_TESTS_SQL = "key long, doc long, line long, length long, name long"
+def segments(again: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Maximal ranges of repeated lines with enough words."""
+    again = np.unique(again)
+    if not len(again):
+        return []
+    cuts = np.flatnonzero(np.diff(again) > 1) + 1
+    found = [(int(r[0]), int(r[-1]) + 1) for r in np.split(again, cuts)]
+    return [(lo, hi) for lo, hi in found if words[lo:hi].sum() >= min_words]
 
 
-def _name_runs(min_words: int):
-    """(key, doc, ids, words, again) -> the runs of every position of a segment."""
+def _places(min_words: int):
+    """(doc, key, words, again) -> all positions of the document's segments, with the level that the runs of each segment need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                words = batch.column("words")[k].values.to_numpy()
-                found = [windows(words, lo, hi, min_words) for lo, hi in segments(batch.column("again")[k].values.to_numpy(), words, min_words)]
-                if not found:
-                    continue
-                at, length = (np.concatenate(x) for x in zip(*found, strict=True))
-                names = run_names(batch.column("ids")[k].values.to_numpy(), at, length)
-                key, doc = (np.full(len(at), batch.column(c)[k].as_py()) for c in ("key", "doc"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, doc, at, length, names)], schema=_TESTS)
+            rows = []
+            for doc, key, words, again in zip(*(batch.column(c) for c in ("doc", "key", "words", "again")), strict=True):
+                words = words.values.to_numpy()
+                found = segments(again.values.to_numpy(), words, min_words)
+                if found:
+                    tops = [int(windows(words, lo, hi, min_words)[1].max()).bit_length() - 1 for lo, hi in found]
+                    rows.append((doc.as_py(), key.as_py(), [lo for lo, _ in found], [hi for _, hi in found], tops, max(tops)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SEGMENTS)], schema=_SEGMENTS)
 
     return run
 
 
-def segments(again: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """Maximal ranges of repeated lines with enough words."""
-    again = np.unique(again)
-    if not len(again):
-        return []
-    cuts = np.flatnonzero(np.diff(again) > 1) + 1
-    found = [(int(r[0]), int(r[-1]) + 1) for r in np.split(again, cuts)]
-    return [(lo, hi) for lo, hi in found if words[lo:hi].sum() >= min_words]
+_LONGS = pa.list_(pa.int64())
+_SEGMENTS = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("lo", _LONGS), ("hi", _LONGS), ("tops", _LONGS), ("top", pa.int64())])
+_SEGMENTS_SQL = "doc long, key long, lo array<long>, hi array<long>, tops array<long>, top long"
+_PAIRS_SQL = "doc long, key long, line long, a long, b long"
 
 
-def _earlier(tests: DataFrame) -> DataFrame:
-    """The tests (key, line, length) whose run has an earlier copy."""
-    tests = materialize(tests)
-    groups = tests.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "line")).alias("first")).where("n > 1")
-    groups = materialize(groups.select("name", "first"))
-    return tests.join(groups, "name").where(F.struct("doc", "key", "line") != F.col("first")).select("key", "line", "length")
+def _first_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, key, lo, hi, ids) -> (doc, key, lines, ranks) by one line: the order of the alphabet is that of the ids."""
+    for batch in batches:
+        rows = []
+        for doc, key, lo, hi, ids in zip(*(batch.column(c) for c in ("doc", "key", "lo", "hi", "ids")), strict=True):
+            at = np.concatenate([np.arange(a, b) for a, b in zip(lo.as_py(), hi.as_py(), strict=True)])
+            rows.append((doc.as_py(), key.as_py(), at, ids.values.to_numpy()[at]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), _LONGS, _LONGS))], ["doc", "key", "lines", "ranks"])
 
 
-_CUT = "key long, removed array<struct<from:long,to:long>>, n_removed long"
+def _pairs(level: int):
+    """(doc, key, lo, hi, tops, lines, ranks by 2**(level - 1) lines) -> the pairs of ranks of the runs of 2**level lines."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = 1 << (level - 1)
+        for batch in batches:
+            for doc, key, lo, hi, tops, lines, ranks in zip(*(batch.column(c) for c in ("doc", "key", "lo", "hi", "tops", "lines", "ranks")), strict=True):
+                lo, hi, tops, lines, ranks = (x.values.to_numpy() for x in (lo, hi, tops, lines, ranks))
+                order = np.argsort(lines)
+                lines, ranks = lines[order], ranks[order]
+                segment = np.searchsorted(lo, lines, side="right") - 1
+                at, there = K.find(lines, lines + half)
+                good = np.flatnonzero(there & (lines + 2 * half <= hi[segment]) & (tops[segment] >= level))
+                if len(good):
+                    n = len(good)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, doc.as_py())), pa.array(np.full(n, key.as_py())), pa.array(lines[good]), pa.array(ranks[good]), pa.array(ranks[at[good]])], ["doc", "key", "line", "a", "b"]
+                    )
+
+    return run
+
+
+def _next_ranks(state: DataFrame, level: int) -> DataFrame:
+    """(doc, key, lines, ranks) by 2**level lines, of the suffixes that share these lines with another one."""
+    pairs = state.mapInArrow(_pairs(level), _PAIRS_SQL)
+    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    # numbered in sorted order: partitions are ranges, and ids grow from one to the next
+    ranks = materialize(shared.repartitionByRange("a", "b").sortWithinPartitions("a", "b").select("a", "b", F.monotonically_increasing_id().alias("rank")))
+    ranked = pairs.join(ranks, ["a", "b"]).select("doc", "key", F.struct("line", "rank").alias("x"))
+    return ranked.groupBy("doc", "key").agg(F.collect_list("x").alias("x")).select("doc", "key", F.col("x.line").alias("lines"), F.col("x.rank").alias("ranks"))
+
+
+_RUNS_SQL = "doc long, key long, line long, length long, a long, b long"
+
+
+def _runs(min_words: int):
+    """(doc, key, lo, hi, words, levels) -> the runs of every position of a segment, with the ranks of the two runs that cover each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, key, lo, hi, words, levels in zip(*(batch.column(c) for c in ("doc", "key", "lo", "hi", "words", "levels")), strict=True):
+                words = words.values.to_numpy()
+                found = [windows(words, a, b, min_words) for a, b in zip(lo.as_py(), hi.as_py(), strict=True)]
+                at, length = (np.concatenate(x) for x in zip(*found, strict=True))
+                depth = np.array([int(n).bit_length() - 1 for n in length])
+                for x in levels:
+                    level = x["level"].as_py()
+                    lines, ranks = (x[c].values.to_numpy() for c in ("lines", "ranks"))
+                    order = np.argsort(lines)
+                    here = np.flatnonzero(depth == level)
+                    a, live_a = K.find(lines[order], at[here])
+                    b, live_b = K.find(lines[order], at[here] + length[here] - (1 << level))
+                    live = live_a & live_b
+                    here, a, b = here[live], a[live], b[live]
+                    if len(here):
+                        n = len(here)
+                        columns = [np.full(n, doc.as_py()), np.full(n, key.as_py()), at[here], length[here], ranks[order][a], ranks[order][b]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "key", "line", "length", "a", "b"])
+
+    return run
+
+
+def _later(runs: DataFrame) -> DataFrame:
+    """The runs that are not at the earliest position of their interval."""
+    runs = materialize(runs)
+    interval = ["length", "a", "b"]
+    first = runs.groupBy(*interval).agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "line")).alias("first")).where("n > 1")
+    first = materialize(first.drop("n"))
+    return runs.join(first, interval).where(F.struct("doc", "key", "line") != F.col("first")).select("doc", "key", "line", "length")
 
-_CUT_ARROW = pa.schema([("key", pa.int64()), ("removed", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), ("n_removed", pa.int64())])
+
+_CUT = "doc long, key long, removed array<struct<from:long,to:long>>, n_removed long"
+
+
+_CUT_ARROW = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("removed", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), ("n_removed", pa.int64())])
 
 
 def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, known) -> ranges of lines to delete, the unions of runs that overlap or touch."""
+    """(doc, key, known) -> ranges of lines to delete, the unions of runs that overlap or touch."""
     for batch in batches:
         rows = []
-        for key, known in zip(batch.column("key").to_pylist(), batch.column("known").to_pylist(), strict=True):
+        for doc, key, known in zip(*(batch.column(c).to_pylist() for c in ("doc", "key", "known")), strict=True):
             ranges: list[dict] = []
             for x in sorted(known, key=lambda x: x["line"]):
                 lo, hi = x["line"], x["line"] + x["length"]
@@ -162,24 +230,39 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ranges[-1]["to"] = max(ranges[-1]["to"], hi)
                 else:
                     ranges.append({"from": lo, "to": hi})
-            rows.append({"key": key, "removed": ranges, "n_removed": sum(r["to"] - r["from"] for r in ranges)})
+            rows.append({"doc": doc, "key": key, "removed": ranges, "n_removed": sum(r["to"] - r["from"] for r in ranges)})
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_CUT_ARROW)
 
 
+def _identity(doc_id: str, text: str) -> tuple:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)), row_key(doc_id, text)
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(key, removed, n_removed) for the documents that hold later copies; key is row_key(doc_id, text)."""
-    rows = docs.where(F.col(text).isNotNull()).select(row_key(doc_id, text).alias("key"), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.col(text).alias("text"))
+    """(doc, key, removed, n_removed) for the documents that hold later copies; key is row_key(doc_id, text)."""
+    doc, key = _identity(doc_id, text)
+    rows = docs.where(F.col(text).isNotNull()).select(key.alias("key"), doc.alias("doc"), F.col(text).alias("text"))
     lines = materialize(rows.mapInArrow(_lines, "key long, doc long, ids array<long>, words array<long>"))
     lines = lines.where(F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x) >= min_words)
-    lines = materialize(lines.groupBy("key").agg(F.min("doc").alias("doc"), F.first("ids").alias("ids"), F.first("words").alias("words")))
-    each = lines.select("key", F.posexplode("ids").alias("line", "id"))
+    lines = materialize(lines.groupBy("doc", "key").agg(F.first("ids").alias("ids"), F.first("words").alias("words")))
+    each = lines.select("doc", "key", F.posexplode("ids").alias("line", "id"))
     again = materialize(each.groupBy("id").count().where("count > 1").select("id"))
-    masks = each.join(again, "id").groupBy("key").agg(F.collect_list(F.col("line").cast("long")).alias("again"))
-    state = materialize(lines.join(masks, "key"))
-    known = _earlier(state.mapInArrow(_name_runs(min_words), _TESTS_SQL))
-    runs = known.groupBy("key").agg(F.collect_list(F.struct("line", "length")).alias("known"))
-    return materialize(runs.mapInArrow(_cuts, _CUT))
+    masks = each.join(again, "id").groupBy("doc", "key").agg(F.collect_list(F.col("line").cast("long")).alias("again"))
+    state = lines.select("doc", "key", "words").join(masks, ["doc", "key"])
+    parts = materialize(state.mapInArrow(_places(min_words), _SEGMENTS_SQL))
+    top = parts.agg(F.max("top")).first()[0]
+    levels = [materialize(parts.join(lines, ["doc", "key"]).mapInArrow(_first_ranks, "doc long, key long, lines array<long>, ranks array<long>"))]
+    for level in range(1, (top or 0) + 1):
+        levels.append(materialize(_next_ranks(parts.where(F.col("top") >= level).join(levels[-1], ["doc", "key"]), level)))
+    known = None
+    for level, ranks in enumerate(levels):
+        row = ranks.select("doc", "key", F.struct(F.lit(level).alias("level"), "lines", "ranks").alias("x"))
+        known = row if known is None else known.union(row)
+    known = known.groupBy("doc", "key").agg(F.collect_list("x").alias("levels"))  # of one document
+    runs = parts.join(lines.drop("ids"), ["doc", "key"]).join(known, ["doc", "key"]).mapInArrow(_runs(min_words), _RUNS_SQL)
+    cut = _later(runs).groupBy("doc", "key").agg(F.collect_list(F.struct("line", "length")).alias("known"))
+    return materialize(cut.mapInArrow(_cuts, _CUT))
 
 
 def _without(text: str, removed: list[dict]) -> str:
@@ -205,9 +288,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     """docs with later copies of line runs removed from the text, and n_removed_lines behind."""
     cuts = repeated_runs(docs, min_words, text, doc_id)
     docs = docs.drop("n_removed_lines")
-    keyed = docs.withColumn("_cut_key", row_key(doc_id, text))
+    doc, key = _identity(doc_id, text)
+    keyed = docs.withColumn("_cut_doc", doc).withColumn("_cut_key", key)
     # always by shuffle: how many documents are cut grows with the corpus, so no size is the right one to broadcast
-    joined = keyed.join(cuts.withColumnsRenamed({"key": "_cut_key", "removed": "_cut", "n_removed": "_cut_n"}).hint("merge"), "_cut_key", "left")
+    cuts = cuts.withColumnsRenamed({"doc": "_cut_doc", "key": "_cut_key", "removed": "_cut", "n_removed": "_cut_n"})
+    joined = keyed.join(cuts.hint("merge"), ["_cut_doc", "_cut_key"], "left")
     joined = joined.select(*docs.columns, F.coalesce("_cut_n", F.lit(0)).alias("n_removed_lines"), "_cut")
     names = [*docs.columns, "n_removed_lines"]
     return joined.mapInArrow(_rewrite(docs.columns.index(text), names), joined.drop("_cut").schema)
