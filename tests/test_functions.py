@@ -79,3 +79,45 @@ def test_html():
     assert html.section_head_of("<p>", "http://h.org/") is None
     cleaned = html.clean('<p onclick="x()"><a href="b?x">l</a><script>s</script><iframe src="q"></iframe><br>', "http://h.org/a/c")
     assert cleaned == '<p><a href="http://h.org/a/b?x">l</a><iframe></iframe><br /></p>'
+
+
+PAGE = (
+    '<html><head><title>T</title></head><body><div class="header"><a href="/">Home</a> <a href="/a">About us and many others</a></div>'
+    '<div class="wrap with-sidebar"><div id="x"><h2>Heading</h2><p>{0}</p><p>Short.</p><div class="share">tell your friends now</div><ul><li><a href="/l">{1}</a></li></ul>'
+    '<img src="big.jpg" width=300 height=200 alt="b"><img src="s.png" width="60" height="60"><img src="g.gif"><img src="odd.png" width="50%"><p>{0}</p></div>'
+    '<div class="sidebar"><p>latest</p><p>news</p></div></div><div>imprint and contact</div></body></html>'
+).format("Some words of the story. " * 8, "see also this other long page about it")
+
+
+def test_main_text_is_the_part_of_most_worth():
+    title, shown, found, image, images = html.readable_content(PAGE, "http://h.org/d/e")
+    story = ("Some words of the story. " * 8).strip()
+    assert title == "T" and found == f"Heading\n{story}\nShort.\n{story}"
+    assert image == "http://h.org/d/big.jpg" and images == [image, "http://h.org/d/odd.png"]
+    assert "s.png" not in shown and "g.gif" not in shown and "friends" not in shown
+    assert html.readable_content("", None) == ("", "", "", None, []) and html.main_text_of("<p>hi", None) == "hi"
+    root = html.parse(PAGE)
+    best = html.main_node(root)
+    assert best.attributes.get("id") == "x"
+    assert best.worth >= html.KEEP * max(n.worth for n in root.elements() if n.tag in html.HOLDERS)
+    nothing_named = PAGE.replace(' class="header"', "").replace(' id="x"', "").replace(' class="wrap with-sidebar"', "")
+    assert html.main_text_of(nothing_named, "http://h.org/d/e") == found + "T"
+
+
+def test_deep_and_broken_pages():
+    for tag in ("div", "b", "p", "span", "ul"):
+        deep = f"<{tag}>" * 5000 + "the text" + f"</{tag}>" * 5000
+        assert html.main_text_of(deep, None) == "the text" and "the text" in html.extract(deep)[1]
+        assert "the text" in html.clean(deep, "http://h.org/")
+    for odd in ("</i>" * 200_000, "<b>" * 20_000 + "</i>" * 20_000, "<b>" * 20_000 + "<p>" * 20_000, "<a 'x" * 5_000, "<!--", "<", "&#x110000;"):
+        html.readable_content(odd, "http://h.org/")
+        html.clean(odd, "http://h.org/")
+
+
+def test_cleaning_links():
+    source = '<base href="http://h.org/b/"><table background="i.png"><td><a href=" c " cite="d">x</a><q cite="d">y</q><img src="e" longdesc="f"></table><style>@import "p.css"; @import url(q.css);a > b{}</style>'
+    cleaned = html.clean_until_stable(source, "http://h.org/a")
+    for want in ('background="http://h.org/b/i.png"', 'href="http://h.org/b/c"', '<a href="http://h.org/b/c" cite="d">', '<q cite="http://h.org/b/d">', 'longdesc="http://h.org/b/f"'):
+        assert want in cleaned, (want, cleaned)
+    assert '@import url("http://h.org/b/p.css"); @import url("http://h.org/b/q.css");a > b{}' in cleaned
+    assert html.clean(cleaned, "http://h.org/a") == cleaned

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -22,18 +23,33 @@ BLOCKS = frozenset(
     "address article aside audio blockquote canvas dd div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr ol li p pre section table td tr th tfoot ul span".split()
 )
 UNSEEN = frozenset("script style applet noframe noscript audio video canvas".split())
-CANDIDATES = frozenset("p div td h1 h2 h3 h4 h5 h6 hr blockquote article section hgroup span ul ol dl dt dd code pre center address".split())
 READABLE = frozenset(
     "ul ol li dl dt dd address article aside blockquote canvas figcaption figure footer h1 h2 h3 h4 h5 h6 header hgroup p pre section b big i small tt abbr acronym cite code dfn em kbd strong samp var a bdo br img q sub sup label map span".split()
 )
 UNWRAPPED = frozenset("div tbody thead tfoot tr th td center".split())
 KEPT_ATTRIBUTES = {"img": ("src", "width", "height"), "abbr": ("title",), "acronym": ("title",), "bdo": ("dir",), "a": ("href",), "q": ("cite",)}
-URL_ATTRIBUTES = frozenset(["href", "src", "action", "cite", "background", "longdesc", "usemap", "poster", "data", "codebase", "archive", "formaction", "manifest", "profile", "icon", "classid"])
-STOP = re.compile("comm?ent|share|footer|add|breadcrumb|menu", re.I)
+URL_ATTRIBUTES = {
+    "a": ("href",), "applet": ("archive", "codebase"), "area": ("href",), "audio": ("src",), "base": ("href",), "blockquote": ("cite",), "button": ("formaction",), "command": ("icon",),
+    "del": ("cite",), "embed": ("src",), "form": ("action",), "frame": ("longdesc", "src"), "head": ("profile",), "html": ("manifest",), "iframe": ("longdesc", "src"),
+    "img": ("longdesc", "src", "usemap"), "input": ("formaction", "src", "usemap"), "ins": ("cite",), "link": ("href",), "object": ("archive", "classid", "codebase", "data", "usemap"),
+    "q": ("cite",), "script": ("src",), "source": ("src",), "video": ("poster", "src"),
+}
 HIDDEN = re.compile("display:none|visibility:hidden")
-POSITIVE = re.compile(r"(?i)(^(body|content|h?entry|main\w+|page|post|text|blog|story\w+|haupt))|arti(cle|kel)|instapaper_body")
+SMALL = 70  # pixels
+GIF = 30
+TRIES = 10
 CRUMBS = re.compile("bread.*crumb|ariane|fil")
 
+# main text: a run of text between block elements is worth its characters, less twice those in links, less a cost
+BLOCK_COST = 20
+LINK_COST = 2
+KEEP = 0.9
+HOLDERS = frozenset("article body center dd div li main section table tbody td".split())
+PARTS = frozenset("article blockquote body center dd div dl dt fieldset figure h1 h2 h3 h4 h5 h6 header hr li main ol p pre section table tbody td tfoot th thead tr ul".split())
+APART = frozenset("aside button dialog footer form iframe menu nav noscript object option script select style svg template textarea title".split())
+SKIPPED_NAMES = frozenset("advert breadcrumb breadcrumbs comment comments footer menu nav navbar navigation pagination related share sharing sidebar social sponsored".split())
+_NAME_PARTS = re.compile("[A-Za-z]+")
+
 _VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _P_ENDS = frozenset("address article aside blockquote center div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -42,10 +58,11 @@ _SPACE = re.compile("[\\s\u00a0]+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "parent", "score", "tag")
+    __slots__ = ("attributes", "chars", "children", "linked", "parent", "tag", "worth")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
-        self.tag, self.attributes, self.parent, self.children, self.score = tag, attributes, parent, [], 0
+        self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
+        self.chars = self.linked = self.worth = 0
 
     def elements(self):
         """This node and all below it, in page order."""
@@ -67,22 +84,26 @@ class Node:
                 stack.extend(reversed(node.children))
         return _SPACE.sub(" ", "".join(parts)).strip()
 
-    def own_text(self) -> str:
-        return _SPACE.sub(" ", "".join(c for c in self.children if isinstance(c, str))).strip()
-
 
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#", {}, None)
         self.at = self.root
+        self.open: Counter[str] = Counter()  # open elements by tag, so that an end tag without one costs nothing
+
+    def _close(self, node: Node) -> None:
+        while self.at is not node.parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def handle_starttag(self, tag, attrs):
         ends = _CLOSED_BY.get(tag, set()) | ({"p"} if tag in _P_ENDS else set())
+        ends = {e for e in ends if self.open[e]}
         node = self.at
         while ends and node is not self.root:
             if node.tag in ends:
-                self.at = node.parent
+                self._close(node)
                 break
             if node.tag in _FENCE:
                 break
@@ -91,19 +112,19 @@ class _Builder(HTMLParser):
         self.at.children.append(new)
         if tag not in _VOID:
             self.at = new
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in _VOID and self.at is not self.root:
-            self.at = self.at.parent
+        if tag not in _VOID:
+            self._close(self.at)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node is not self.root:
-            if node.tag == tag:
-                self.at = node.parent
-                return
-            node = node.parent
+        if self.open[tag]:
+            node = self.at
+            while node.tag != tag:
+                node = node.parent
+            self._close(node)
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -148,95 +169,141 @@ def extract(source: str) -> tuple[str, str]:
     return _SPACE.sub(" ", "".join(title)).strip(), "\n".join(lines).strip()
 
 
-def _weigh(node: Node) -> int:
-    """Weight of a node by its children; scores of the children are set by the way."""
-    weight, long_paragraphs, caption = 0, 0, False
-    for child in node.children:
-        if isinstance(child, str):
-            continue
-        own = child.own_text()
-        if len(own) > 200:
-            weight += max(50, len(own) // 10)
-        if child.tag in ("h1", "h2"):
-            weight += 30
-        elif child.tag in ("div", "p"):
-            noise = sum(own.count(x) for x in ("&quot;", "&lt;", "&gt;", "px"))
-            value = -30 if noise > 5 else int(len(own) / 25 + 0.5)
-            child.score += value
-            weight += value
-            long_paragraphs += child.tag == "p" and len(own) > 50
-            if node.tag == "div" and child.tag == "div":
-                weight += sum(max(35, len(own) // 15) for x in child.children if isinstance(x, Node) and x.tag == "p" and len(x.own_text()) > 200)
-            caption |= child.attributes.get("class", "").lower() == "caption"
-    weight += 30 * caption
-    if long_paragraphs >= 2:
-        for child in node.children:
-            if isinstance(child, Node):
-                weight += 20 * (child.tag in "h1;h2;h3;h4;h5;h6")
-                child.score += -30 * (child.tag in "table;li;td;th") + 30 * (child.tag in "p")
-    return weight
+def _measure(root: Node) -> None:
+    """Sets each element's characters, those of them in links, and the worth of its blocks, all of them with what is below."""
+    run = [root, 0, 0]  # the block element that holds the run of text, its characters, those in links
 
+    def flush(block: Node) -> None:
+        owner, chars, linked = run
+        if chars:
+            owner.chars += chars
+            owner.linked += linked
+            owner.worth += chars - LINK_COST * linked - BLOCK_COST
+        run[:] = [block, 0, 0]
 
-def main_node(root: Node) -> Node | None:
-    """The element with the best score by position, class and children."""
-    best, top, position = None, 0, 100
-    for body in [n for n in root.elements() if n.tag == "body"] or [root]:
-        for node in body.elements():
-            if node.tag not in CANDIDATES:
-                continue
-            if node.tag == "span" and (sum(x.tag in ("p", "div") for x in node.elements()) < 2 or len(node.text()) < 100):
+    order: list[Node] = []
+    stack: list[tuple[Node | str | None, Node, bool]] = [(root, root, False)]
+    while stack:
+        node, block, in_link = stack.pop()
+        if node is None:
+            flush(block)
+        elif isinstance(node, str):
+            n = len("".join(node.split()))
+            run[1] += n
+            run[2] += n * in_link
+        else:
+            order.append(node)
+            if node.tag in APART:
                 continue
-            node.score, position = node.score + position, position // 2
-            names = f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}"
-            weight = node.score + int(len(node.own_text()) / 100 * 10) + _weigh(node) + 35 * bool(POSITIVE.search(names.strip())) - 50 * bool(STOP.search(names))
-            if weight > top:
-                best, top = node, weight
-            if weight > 200:
-                return best
-    return best
-
-
-def readable(node: Node, base: str | None) -> str:
-    """Clean HTML of an element: known elements and attributes only, without what stop words name."""
-    parts: list[str] = []
+            if node.tag in PARTS:
+                flush(node)
+                stack.append((None, block, False))
+                block = node
+            stack.extend((c, block, in_link or node.tag == "a") for c in reversed(node.children))
+    flush(root)
+    for node in reversed(order[1:]):
+        node.parent.chars += node.chars
+        node.parent.linked += node.linked
+        node.parent.worth += node.worth
 
-    def copy(element: Node, images_only: bool, top: bool = False) -> None:
-        names = element.attributes.get("class", ""), element.attributes.get("id", "")
-        if "caption" in names[0].lower() or HIDDEN.search(element.attributes.get("style", "")) or HIDDEN.search(names[0]):
-            return
-        images_only |= element.score < 0 and not top and not re.fullmatch("h[1-6]", element.tag)
+
+def main_node(root: Node) -> Node | None:
+    """The element that holds the main text; None for a page without text.
+
+    As Pasternack and Roth (2009) take the run of tokens of the greatest sum, this takes
+    the part of the tree whose blocks are worth most: paragraphs pay, menus and scattered
+    labels cost.  Of the elements that can hold an article and have ``KEEP`` of the greatest
+    worth it is the innermost one, then the one of more worth, then the first.
+    """
+    _measure(root)
+    if not root.chars:
+        return None
+    holders, body = [], root
+    stack = [(root, 0)]
+    while stack:
+        node, depth = stack.pop()
+        if node.tag == "body" and body is root:
+            body = node
+        if node.tag in HOLDERS and node.worth > 0:
+            holders.append((node, depth))
+        if node.tag not in APART:
+            stack.extend((c, depth + 1) for c in reversed(node.children) if isinstance(c, Node))
+    least = KEEP * max((n.worth for n, _ in holders), default=0)
+    return max((x for x in holders if x[0].worth >= least), key=lambda x: (x[1], x[0].worth), default=(body, 0))[0]
+
+
+def pictures(node: Node) -> list[Node]:
+    """The images of an element (of its parent if it has none) that matter, best first.
+
+    Out are those without a source, those known to be smaller than ``SMALL`` either way, and
+    those of no weight: a text for it and a large area speak for an image, GIF against it.
+    """
+    found = []
+    images = [n for n in node.elements() if n.tag == "img"] or [n for n in (node.parent or node).elements() if n.tag == "img"]
+    for k, image in enumerate(images):
+        source = image.attributes.get("src", "")
+        sizes = [int(v) for v in (image.attributes.get(c, "").strip() for c in ("width", "height")) if re.fullmatch("[0-9]{1,6}", v)]
+        if not source or source.startswith("data:") or any(v < SMALL for v in sizes):
+            continue
+        weight = 10 + 20 * bool(image.attributes.get("alt", "").strip()) + (min(100, sizes[0] * sizes[1] // 1000) if len(sizes) == 2 else 10)
+        weight -= GIF * source.lower().endswith(".gif")
+        if weight > 0:
+            found.append((-weight, k, image))
+    return [image for _, _, image in sorted(found, key=lambda x: x[:2])]
+
+
+def _left_out(element: Node, top: Node) -> bool:
+    """Whether an element is hidden, a caption, an aside or named like one (unless it holds most of the text)."""
+    names = element.attributes.get("class", ""), element.attributes.get("id", "")
+    if "caption" in names[0].lower() or HIDDEN.search(element.attributes.get("style", "")) or HIDDEN.search(names[0]):
+        return True
+    return element.tag in APART or 2 * element.chars <= top.chars and any(part.lower() in SKIPPED_NAMES for name in names for part in _NAME_PARTS.findall(name))
+
+
+def readable(node: Node, base: str | None, images: list[Node] | None = None) -> str:
+    """Clean HTML of an element: known elements and attributes only, without asides; of parts that are mostly links the images only."""
+    chosen = None if images is None else {id(i) for i in images}
+    parts: list[str] = []
+    n_texts = n_images = 0
+    # elements to copy, and whether for their images only; or to end, with the counts at their begin
+    stack: list[tuple] = [(node, False)]
+    while stack:
+        element, images_only, *begun = stack.pop()
+        if isinstance(element, str):
+            if _SPACE.sub("", element):
+                parts.append(entities.escape(_SPACE.sub(" ", element), quote=False))
+                n_texts += 1
+            continue
+        if begun:
+            at, texts, pictured = begun
+            if n_texts == texts and (n_images == pictured or element.tag == "a"):
+                del parts[at:]
+                n_images = pictured
+            else:
+                parts.append(f"</{element.tag}>")
+            continue
+        top = element is node
+        if not top and _left_out(element, node):
+            continue
+        images_only |= element.tag in PARTS and 2 * element.linked > element.chars and not top and not re.fullmatch("h[1-6]", element.tag)
         if images_only and element.tag != "img":
-            for child in element.children:
-                if isinstance(child, Node):
-                    copy(child, True)
-            return
-        if element.tag == "img" and not element.attributes.get("src") or any(STOP.search(x) for x in names):
-            return
+            stack.extend((c, True) for c in reversed(element.children) if isinstance(c, Node))
+            continue
+        if element.tag == "img" and (not element.attributes.get("src") or chosen is not None and id(element) not in chosen):
+            continue
         keep = element.tag in READABLE
-        if not keep and element.tag not in UNWRAPPED:
-            return
-        at = len(parts)
+        if not keep and element.tag not in UNWRAPPED and not top:
+            continue
         if keep:
+            if element.tag not in ("br", "img"):
+                stack.append((element, images_only, len(parts), n_texts, n_images))
+            n_images += element.tag == "img"
             shown = [(n, element.attributes.get(n, "")) for n in KEPT_ATTRIBUTES.get(element.tag, ())]
             shown = [(n, (resolve(base, v) or v) if n in ("src", "href", "cite") and base else v) for n, v in shown if v and not v.lower().startswith("javascript:")]
             parts.append(f"<{element.tag}" + "".join(f' {n}="{entities.escape(v)}"' for n, v in shown) + ">")
         elif parts and not parts[-1].startswith(("<br", "</p")):
             parts.append("<br>")
-        begin = len(parts)
-        for child in element.children:
-            if isinstance(child, Node):
-                copy(child, images_only)
-            elif _SPACE.sub("", child):
-                parts.append(entities.escape(_SPACE.sub(" ", child), quote=False))
-        if keep and element.tag not in ("br", "img"):
-            inner = parts[begin:]
-            has_text = any(not p.startswith("<") for p in inner)
-            if not has_text and not any(p.startswith("<img") for p in inner) or element.tag == "a" and not has_text:
-                del parts[at:]
-            else:
-                parts.append(f"</{element.tag}>")
-
-    copy(node, False, top=True)
+        stack.extend((c, images_only) for c in reversed(element.children))
     return re.sub(r"(<br\s*/?>\s*)+", "<br>", "".join(parts))
 
 
@@ -247,19 +314,22 @@ def readable_content(source: str, url: str | None) -> tuple[str, str, str, str |
     node = main_node(root)
     if node is None:
         return title, "", "", None, []
-    shown = readable(node, url)
-    images = [m for m in re.findall(r'<img src="([^"]*)"', shown)]
+    images = pictures(node)
+    shown = readable(node, url, images)
+    found = [(resolve(url, i.attributes["src"]) or i.attributes["src"]) if url else i.attributes["src"] for i in images]
     text = parse(re.sub("<br>|</p>|</h[1-6]>|</li>", "\\g<0>\n", shown))
-    lines = (_SPACE.sub(" ", x).strip() for x in "".join(c for c in _strings(text)).split("\n"))
-    return title, shown, "\n".join(x for x in lines if x), images[0] if images else None, images
+    lines = (_SPACE.sub(" ", x).strip() for x in "".join(_strings(text)).split("\n"))
+    return title, shown, "\n".join(x for x in lines if x), found[0] if found else None, found
 
 
 def _strings(node: Node):
-    for child in node.children:
+    stack: list[Node | str] = [node]
+    while stack:
+        child = stack.pop()
         if isinstance(child, str):
             yield child
         else:
-            yield from _strings(child)
+            stack.extend(reversed(child.children))
 
 
 def main_text_of(source: str, url: str | None) -> str:
@@ -284,8 +354,19 @@ def section_head_of(source: str, url: str | None) -> str | None:
     return None
 
 
+_IMPORT = re.compile(r"""@import\s+(?:url\(\s*)?(["']?)([^"')\s;]+)\1\s*\)?""", re.I)
+
+
+def _imports(css: str, base: str) -> str:
+    """Style rules with the targets of @import made absolute."""
+    return _IMPORT.sub(lambda m: f'@import url("{resolve(base, m.group(2)) or m.group(2)}")', css)
+
+
 def clean(source: str, url: str | None, drop_scripts: bool = True, disable_frames: bool = True, resolve_links: bool = True, charset: str | None = None) -> str:
-    """The page in XML syntax, without scripts and event attributes, frames disabled and links absolute."""
+    """The page in XML syntax, without scripts and event attributes, frames disabled and links absolute.
+
+    Links are the URL attributes of each element, ``background``, and @import in styles.
+    """
     base = url
     out: list[str] = []
 
@@ -296,8 +377,8 @@ def clean(source: str, url: str | None, drop_scripts: bool = True, disable_frame
             return None
         if drop_scripts and value.strip().lower().startswith("javascript:"):
             value = "#"
-        elif resolve_links and name in URL_ATTRIBUTES and base:
-            value = resolve(base, value) or value
+        elif resolve_links and base and (name in URL_ATTRIBUTES.get(node.tag, ()) or name == "background"):
+            value = resolve(base, value.strip()) or value
         if disable_frames and node.tag in ("frame", "iframe") and name == "src":
             return None
         if charset and node.tag == "meta" and name == "charset":
@@ -314,17 +395,31 @@ def clean(source: str, url: str | None, drop_scripts: bool = True, disable_frame
             continue
         if drop_scripts and node.tag == "script" or not re.fullmatch(r"#|[a-z][\w:-]*", node.tag):
             continue
-        if node.tag == "base" and node.attributes.get("href"):
-            base = resolve(url, node.attributes["href"]) or base
         if node.tag != "#":
             inside = "".join(filter(None, (attribute(node, n, v) for n, v in node.attributes.items())))
             out.append(f"<{node.tag}{inside} />" if not node.children and node.tag in _VOID else f"<{node.tag}{inside}>")
             if node.tag not in _VOID:
                 stack.append(f"\u0000</{node.tag}>")
-        stack.extend(reversed(node.children))
+        if node.tag == "base" and node.attributes.get("href"):
+            base = resolve(url, node.attributes["href"]) or base
+        if node.tag in ("style", "script"):  # read back as they are
+            css = "".join(c for c in node.children if isinstance(c, str))
+            out.append(_imports(css, base) if node.tag == "style" and resolve_links and base else css)
+        else:
+            stack.extend(reversed(node.children))
     return "".join(x.removeprefix("\u0000") for x in out)
 
 
+def clean_until_stable(source: str, url: str | None, tries: int = TRIES, **options) -> str:
+    """``clean``, repeated until it changes nothing more, ``tries`` times at most; the last result."""
+    for _ in range(tries):
+        cleaned = clean(source, url, **options)
+        if cleaned == source:
+            break
+        source = cleaned
+    return source
+
+
 @F.pandas_udf(StructType([StructField(n, StringType()) for n in ("title", "body")]))
 def extract_text(source: pd.Series) -> pd.DataFrame:
     rows = [(None, None) if s is None else extract(s) for s in source]
@@ -360,4 +455,4 @@ def section_head(source: pd.Series, url: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def clean_html(source: pd.Series, url: pd.Series) -> pd.Series:
-    return pd.Series([None if s is None else clean(s, u) for s, u in zip(source, url, strict=True)])
+    return pd.Series([None if s is None else clean_until_stable(s, u) for s, u in zip(source, url, strict=True)])
