@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +33,16 @@ def test_absolute_url(base, link, want):
     assert urls.resolve(base, link) == want
 
 
+def test_absolute_url_as_column(spark):
+    rng = random.Random(2)
+    bases = ["http://h.org", "http://h.org/", "http://h.org/?q=1", "http://h.org/a?q=/", "http://h.org/a/b", "HTTP://h.org:80/a//b//", "http://u@h.org/a/b#x/", "h.org/a", "", "mailto:x", "//h.org/x", None]
+    links = ["".join(rng.choice(["/", "..", ".", "a", "?q", "#", "//", "b c", "http://"]) for _ in range(rng.randint(0, 6))) for _ in range(400)] + [None, "https://o.org/z"]
+    rows = [(b, x) for b in bases for x in links]
+    got = spark.createDataFrame(rows, "b string, x string").select("b", "x", urls.absolute_url("b", F.col("x")).alias("u")).collect()
+    for r in got:
+        assert r.u == urls.resolve(r.b, r.x), r
+
+
 def test_hashes(spark):
     words = "the quick brown fox jumps over the lazy dog é".split()
     assert hashing.fingerprint(words) == -1294381012302175810
@@ -66,6 +78,23 @@ def test_text_and_sniffing(spark):
     assert sniff.charset(b"\xe9") == "windows-1252"
 
 
+def test_string_helpers(spark):
+    one = spark.range(1)
+    row = one.select(
+        text.collapse_whitespace(F.lit(" a \t\nb\u00a0")), text.collapse_whitespace(F.lit(" a"), True), text.is_whitespace(F.lit("\f")), text.is_whitespace(F.lit("x")),
+        text.join(F.array(F.lit("a"), F.lit("b")), "-"), text.is_in(F.lit("b"), F.array(F.lit("a"), F.lit("b"))), text.padding(F.lit(0)),
+    ).first()
+    assert tuple(row) == (" a b\u00a0", "a", True, False, "a-b", True, "")
+    with pytest.raises(Exception, match="negative"):
+        one.select(text.padding(F.lit(-1))).collect()
+
+
+def test_unicode_words():
+    """Examples of the word boundary rules of Unicode's annex 29."""
+    assert hashing.tokenize("The quick (\u201cbrown\u201d) fox can\u2019t jump 32.3 feet, right?", "uax29") == ["the", "quick", "brown", "fox", "can\u2019t", "jump", "32.3", "feet", "right"]
+    assert hashing.tokenize("a_b 3,456.789 e.g. x", "uax29") == ["a_b", "3,456.789", "e.g", "x"]
+
+
 def test_html():
     assert html.extract("<body>a<br>b")[1] == "ab"
     assert html.extract("<body><p>a</p>b")[1] == "a\nb"

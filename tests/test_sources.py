@@ -85,3 +85,49 @@ def test_log_rules(spark):
 
 def test_arguments():
     assert cli.main([]) == 2 and cli.main(["-dists", "a"]) == 2 and cli.main(["-nothing", "a"]) == 2
+
+
+def test_all_commands(spark, tmp_path, capsys, monkeypatch):
+    site = "http://example.org"
+    words = [f"{WORDS} {k}" for k in range(6)]
+    for name, n in (("a", 6), ("b", 5)):
+        pages = [("/", words[0], "200 OK")] + [(f"/s{k}", words[k], "200 OK") for k in (1, 2)] + [(f"/s{k % 2 + 1}/p{k}", words[k], "200 OK") for k in range(3, n)] + [("/gone", "x", "404 Not Found")]
+        crumbs = lambda p: f'<div class="breadcrumb"><a href="/">h</a><a href="/{p.split("/")[1]}">s</a></div>' if p.count("/") > 1 else ""
+        records = [record("response", site + p, page(status, f"<html><body>{crumbs(p)}<p>{text}{' changed words here' * (name == 'b')}</p></body></html>")) for p, text, status in pages]
+        out = {"/": ["/s1", "/s2"], "/s1": ["/s1/p4", "/"], "/s2": ["/s2/p3", "/s2/p5", "/s1"], "/s2/p3": ["/s1", "/s2"]}
+        records += [record("metadata", site + p, "".join(f"outlink: {site}{d} L a/@href\r\n" for d in to).encode()) for p, to in out.items()]
+        (tmp_path / f"{name}.warc").write_bytes(b"".join(records))
+        assert cli.report(spark, "-hash", [str(tmp_path / f"{name}.warc"), str(tmp_path / name)]) is None
+        assert f"n_html={len(pages)}" in capsys.readouterr().err
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    rows = lambda command, *args: [tuple(r) for r in cli.report(spark, command, list(args)).collect()]
+    assert [r[0] for r in rows("-dists", a, b)] == [r[0] for r in rows("-distances", a, b)] and len(rows("-dists", a, b)) == 6
+    assert rows("-redun", a) == rows("-redundancy", a) and ("all", 1, 7) in rows("-redun", a)
+    assert rows("-diver", a) == rows("-diversity", a) and rows("-diver", a)[0][4] == 7
+    assert {r[0]: r[1] for r in rows("-size", a, b)} == {"A": 7, "B": 6, "AB": 13}
+    assert rows("-indegree", a)[0] == (f"{site}/s1", 3) and rows("-indegree", a) == rows("-indegree", a, "example.org")
+    heads = {f"{site}/s1", f"{site}/s2"}
+    assert {r[0] for r in rows("-graphSections", a, "example.org")} == heads
+    assert set(rows("-graphSectionsUrl", a, "example.org")) == {(f"{site}/s1", f"{site}/s1"), (f"{site}/s2", f"{site}/s2"), (f"{site}/s1", f"{site}/s1/p4"), (f"{site}/s2", f"{site}/s2/p3"), (f"{site}/s2", f"{site}/s2/p5")}
+    assert set(rows("-graphSectionsPart", a, "example.org")) >= {(f"{site}/s1", f"{site}/s1/p4"), (f"{site}/s2", f"{site}/s2/p3")}
+    assert {r[1] for r in rows("-sectionsBc", a, "example.org")} == {f"{site}/s1/p4", f"{site}/s2/p3", f"{site}/s2/p5"}
+    assert {r[0]: r[5] for r in rows("-secDiver", a, "example.org")} == {r[0]: r[5] for r in rows("-sectionDiversity", a, "example.org")} == {f"{site}/s1": 2, f"{site}/s2": 3}
+    assert {r[0] for r in rows("-secDiverBc", a, "example.org")} == {r[0] for r in rows("-sectionDiversityBreadcrumb", a, "example.org")} == heads
+    assert {r[0]: r[1] for r in rows("-secDists", a, b, "example.org")} == {r[0]: r[1] for r in rows("-sectionsDistances", a, b, "example.org")} == {f"{site}/s1": 2, f"{site}/s2": 2}
+    assert {r[0]: r[1] for r in rows("-secDistsBc", a, b, "example.org")} == {r[0]: r[1] for r in rows("-sectionsDistancesBc", a, b, "example.org")} == {f"{site}/s1": 1, f"{site}/s2": 1}
+    assert cli.main(["-redun", a]) == 0 and "all\t1\t7" in capsys.readouterr().out
+    assert cli.main(["-redun", str(tmp_path / "none")]) == 1
+
+    def full(*_):
+        raise MemoryError
+
+    monkeypatch.setattr(cli, "report", full)
+    assert cli.main(["-redun", a]) == 3
+
+
+def test_header_lines(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(ARCHIVE[1])
+    found = warc.read_warc(spark, str(tmp_path)).select(warc.header_lines().alias("h"), warc.refers_to().alias("r"), warc.ip_address().alias("i"), warc.target_uri().alias("u")).first()
+    lines = found.h.split("\r\n")
+    assert lines[0] == "WARC-Type: response" and lines[2] == "WARC-Date: 2024-01-01T00:00:00Z" and lines[-1] == "WARC-Target-URI: http://example.org/" and len(lines) == 6
+    assert (found.r, found.i, found.u) == (None, None, "http://example.org/")

@@ -13,14 +13,16 @@
     python -m webgauge -secDiver | -secDiverBc A DOMAIN        diversity of each section
     python -m webgauge -secDists | -secDistsBc A B DOMAIN      changes of each section
 
-A and B are logs or folders of logs.  Exit codes: 0 success, 1 input or output error, 2 bad arguments.
+A and B are logs or folders of logs.  -hash reports the numbers of records and bytes, and of those that are HTML, on the error stream.
+Exit codes: 0 success, 1 input or output error, 2 bad arguments, 3 out of memory.
 """
 
 from __future__ import annotations
 
 import sys
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,9 +62,10 @@ def report(spark: SparkSession, command: str, args: list[str]) -> DataFrame | No
     if command == "-hash":
         records = table(warc.read_warc(spark, args[0]))
         hashlog.write(extract.resources(records), extract.links(records), args[1])
+        print(" ".join(f"{k}={v}" for k, v in extract.run_counters(records).first().asDict().items()), file=sys.stderr)
         return None
     if command == "-dists":
-        return reports.distances(load(spark, args[0]), load(spark, args[1]))
+        return reports.distances(load(spark, args[0]), load(spark, args[1])).orderBy("distance", "url")
     if command == "-redun":
         return reports.duplicate_histogram(load(spark, args[0])).orderBy("category", "copies")
     if command == "-diver":
@@ -96,7 +99,11 @@ def main(argv: list[str]) -> int:
             print("\t".join(found.columns))
             for row in found.toLocalIterator():
                 print("\t".join("-" if v is None else str(v) for v in row))
-    except (AnalysisException, OSError) as e:
-        print(str(e).splitlines()[0], file=sys.stderr)
-        return 1
+    except (MemoryError, PySparkException, Py4JError, OSError) as e:
+        print((str(e).splitlines() or [type(e).__name__])[0], file=sys.stderr)
+        if isinstance(e, MemoryError) or "OutOfMemoryError" in str(e):
+            return 3
+        if isinstance(e, (AnalysisException, OSError)):
+            return 1
+        raise
     return 0

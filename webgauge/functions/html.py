@@ -332,6 +332,18 @@ def _strings(node: Node):
             stack.extend(reversed(child.children))
 
 
+def links_of(source: str, url: str | None) -> list[tuple[str, str, str | None]]:
+    """(element/@attribute, value, absolute URL) of all URL attributes of a page, in page order."""
+    base, found = url, []
+    for node in parse(source).elements():
+        if node.tag == "base" and node.attributes.get("href"):
+            base = resolve(url, node.attributes["href"]) or base
+        for name in (*URL_ATTRIBUTES.get(node.tag, ()), "background"):
+            if (value := node.attributes.get(name)) is not None:
+                found.append((f"{node.tag}/@{name}", value, resolve(base, value.strip())))
+    return found
+
+
 def main_text_of(source: str, url: str | None) -> str:
     """Main text and title with nothing between; empty if there is no main text."""
     title, _, text, _, _ = readable_content(source, url)
@@ -456,3 +468,8 @@ def section_head(source: pd.Series, url: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def clean_html(source: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series([None if s is None else clean_until_stable(s, u) for s, u in zip(source, url, strict=True)])
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(n, StringType()) for n in ("kind", "value", "target")])))
+def page_links(source: pd.Series, url: pd.Series) -> pd.Series:
+    return pd.Series([None if s is None else [dict(zip(("kind", "value", "target"), x, strict=True)) for x in links_of(s, u)] for s, u in zip(source, url, strict=True)])

@@ -9,10 +9,8 @@ from __future__ import annotations
 
 from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def part(url: Column, name: str) -> Column:
@@ -83,9 +81,21 @@ def resolve(base: str | None, link: str | None, strict_rfc: bool = False) -> str
     return f"{root.scheme}://{root.netloc}/" + "/".join(stack)
 
 
-@F.pandas_udf(StringType())
-def absolute_url(base: pd.Series, link: pd.Series) -> pd.Series:
-    return pd.Series([resolve(b, x) for b, x in zip(base, link, strict=True)])
+def absolute_url(base: Column | str, link: Column | str) -> Column:
+    """``resolve`` as a column expression."""
+    base, link = (F.col(c) if isinstance(c, str) else c for c in (base, link))
+    none = F.array().cast("array<string>")
+    root = lambda k: F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*)", k)
+    rooted = link.startswith("/")
+    path = F.split(F.regexp_replace(root(3), "/+$", ""), "/")
+    folder = F.slice(path, 2, F.size(path))
+    here = F.when(rooted, none).when(base.endswith("/"), folder).otherwise(F.slice(folder, 1, F.greatest(F.size(folder) - 1, F.lit(0))))
+    names = F.split(F.regexp_replace(link, "(?<=[^/])/+$", ""), "/")
+    names = F.when(link.rlike("^/+$"), none).when(rooted, F.slice(names, 2, F.size(names))).otherwise(names)
+    step = lambda at, name: F.when(name == "..", F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0)))).when(name == ".", at).otherwise(F.concat(at, F.array(name)))
+    target = F.concat(F.lower(root(1)), F.lit("://"), root(2), F.lit("/"), F.array_join(F.aggregate(names, here, step), "/"))
+    nowhere = (root(2) == "") | ~rooted & ~base.endswith("/") & (F.size(folder) == 0) & (root(3) == "/")
+    return F.when(base.isNull() | link.isNull(), None).when(link.rlike("^https?://"), link).when(~nowhere, target)
 
 
 def status_code(first_line: Column) -> Column:

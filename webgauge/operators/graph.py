@@ -40,6 +40,11 @@ def indegree_histogram(degrees: DataFrame) -> DataFrame:
     return degrees.select(F.explode(kinds).alias("category"), "indegree").groupBy("category", "indegree").agg(F.count("*").alias("n"))
 
 
+def in_order(histogram: DataFrame) -> DataFrame:
+    """A histogram by category and in-degree, smallest first (for output; it has few rows)."""
+    return histogram.orderBy("category", "indegree")
+
+
 def head_threshold(degrees: DataFrame) -> DataFrame:
     """One row: the upper median of the distinct in-degrees of html pages."""
     seen = degrees.where(is_html(F.col("mime_type"))).agg(F.sort_array(F.collect_set("indegree")).alias("d"))  # distinct numbers only
@@ -81,10 +86,10 @@ def sections_by_links(vertices: DataFrame, edges: DataFrame, heads: DataFrame, k
     steps = _steps(vertices, edges, heads)
     steps = table(steps.where("startswith(dst, src)") if keep_url_suffixes else steps)
     members = frontier = table(heads.select(F.col("url").alias("section_head"), "url"))
-    while not frontier.isEmpty():
+    while not frontier.isEmpty():  # a round writes what it adds; members is the union of these tables
         reached = frontier.join(steps, frontier.url == steps.src).select("section_head", F.col("dst").alias("url")).distinct()
         frontier = table(reached.join(members, ["section_head", "url"], "left_anti"))
-        members = table(members.union(frontier))
+        members = members.union(frontier)
     return members
 
 
@@ -95,7 +100,7 @@ def sections_by_distance(vertices: DataFrame, edges: DataFrame, heads: DataFrame
     while not frontier.isEmpty():
         reached = frontier.join(steps, frontier.url == steps.src).groupBy(F.col("dst").alias("url")).agg(F.min("section_head").alias("section_head"))
         frontier = table(reached.join(members.select("url"), "url", "left_anti").select("section_head", "url"))
-        members = table(members.union(frontier))
+        members = members.union(frontier)
     return members
 
 

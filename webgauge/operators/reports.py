@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import distance
@@ -61,29 +61,33 @@ def diversity(url_info: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def unique_counts(url_info: DataFrame) -> DataFrame:
-    """One row: distinct html contents, distinct other contents, near-unique html pages."""
+def unique_counts(url_info: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows, distinct html contents, distinct other contents and near-unique html pages; one row, or one a group."""
     html = is_html(F.col("mime_type"))
-    counts = url_info.agg(F.count_distinct(F.when(html, F.col("md5"))).alias("uniq_html_md5"), F.count_distinct(F.when(~html, F.col("md5"))).alias("uniq_not_html"))
-    return counts.crossJoin(clusters(url_info.where("simhash is not null")).agg(F.count_distinct("cluster").alias("near_uniq_html")))
+    counts = url_info.groupBy(*by).agg(
+        F.count("*").alias("n_rows"), F.count_distinct(F.when(html, F.col("md5"))).alias("uniq_html_md5"), F.count_distinct(F.when(~html, F.col("md5"))).alias("uniq_not_html")
+    )
+    near = clusters(url_info.where("simhash is not null"), by=by).groupBy(*by).agg(F.count_distinct("cluster").alias("near_uniq_html"))
+    joined = counts.join(near, list(by), "left") if by else counts.crossJoin(near)
+    return joined.select(*by, "n_rows", "uniq_html_md5", "uniq_not_html", F.coalesce("near_uniq_html", F.lit(0)).alias("near_uniq_html"))
 
 
 def size(a: DataFrame, b: DataFrame) -> DataFrame:
     """(capture, n_rows, uniq_html_md5, uniq_not_html, near_uniq_html, share) of two captures and of all rows of both."""
-    out = None
-    for name, rows in (("A", a), ("B", b), ("AB", a.unionByName(b))):
-        row = unique_counts(rows).crossJoin(rows.agg(F.count("*").alias("n_rows"))).withColumn("capture", F.lit(name))
-        out = row if out is None else out.union(row)
+    rows = a.withColumn("of", F.lit("A")).unionByName(b.withColumn("of", F.lit("B")))
+    rows = rows.select("mime_type", "md5", "simhash", F.explode(F.array("of", F.lit("AB"))).alias("capture"))
+    names = a.sparkSession.createDataFrame([("A",), ("B",), ("AB",)], "capture string")
+    out = names.join(unique_counts(rows, ("capture",)), "capture", "left").fillna(0)
     found = F.col("near_uniq_html") + F.col("uniq_not_html")
-    both = out.where("capture = 'AB'").select(found.alias("of_both"))
-    return out.crossJoin(both).select("capture", "n_rows", "uniq_html_md5", "uniq_not_html", "near_uniq_html", ratio(found, F.col("of_both")).alias("share"))
+    of_both = F.max(F.when(F.col("capture") == "AB", found)).over(Window.partitionBy())  # three rows
+    return out.withColumn("of_both", of_both).select("capture", "n_rows", "uniq_html_md5", "uniq_not_html", "near_uniq_html", ratio(found, F.col("of_both")).alias("share"))
 
 
 def distances(a: DataFrame, b: DataFrame, mode: str = "page", by: tuple[str, ...] = ()) -> DataFrame:
-    """(by.., url, distance) of the urls in both captures, nearest first."""
+    """(by.., url, distance) of the urls in both captures."""
     pick = lambda rows, name: rows.where(has_fingerprint(F.col("simhash"), F.col("simhash_main_text"))).select(*by, "url", _page(mode).alias(name))
     joined = pick(a, "ours").join(pick(b, "theirs"), [*by, "url"]).select(*by, "url", distance(F.col("ours"), F.col("theirs")).alias("distance"))
-    return joined.where("distance is not null").orderBy(*by, "distance", "url")
+    return joined.where("distance is not null")
 
 
 def changed_share(found: DataFrame, by: tuple[str, ...], above: int = CHANGED) -> DataFrame:

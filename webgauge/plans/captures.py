@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import simhash
+from .scratch import spread
 
 URLS = """
 select doc_id, text, case when doc_id = 1 then 'http://example.org/'
@@ -48,7 +49,7 @@ COLUMNS = ["url", "capture_date", "status", "mime_type", "md5", "redir_location"
 
 
 def urls_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(URLS, documents=spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return spark.sql(URLS, documents=spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 def _measured(rows: DataFrame) -> DataFrame:
@@ -66,4 +67,5 @@ def capture_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LINKS, u=urls_of(spark, sf_dir).drop("text"))
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spark.sql(LINKS, u=spark.sql(URLS, documents=documents).drop("text"))

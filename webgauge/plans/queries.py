@@ -11,7 +11,7 @@ from ..functions import hashing, html, sniff, text, urls
 from ..operators import graph, neardup, reports
 from ..sources import hashlog
 from . import captures
-from .scratch import table
+from .scratch import spread, table
 
 DOMAIN = "example.org"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,7 +115,7 @@ _UNIQUE = "select count(distinct case when mime_type like 'text/html%' then md5
 
 @query(_with(_U, _A, _clusters("a")) + f" {_UNIQUE}, (select count(distinct r) from (select min(reach) as r from c group by simhash) z) as near_uniq_html from a")
 def unique_counts(spark, sf_dir):
-    return reports.unique_counts(captures.capture_a(spark, sf_dir))
+    return reports.unique_counts(table(captures.capture_a(spark, sf_dir))).drop("n_rows")
 
 
 @query("select doc_id, md5(text) as digest from documents")
@@ -145,7 +145,7 @@ _DOCS = _simhash_cte("d", "documents", "doc_id")
 
 @query(f"with {_DOCS} select doc_id, simhash from d")
 def simhash_text(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", hashing.simhash("text").alias("simhash"))
+    return spread(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", hashing.simhash("text").alias("simhash"))
 
 
 @query(f"with {_DOCS} select x.doc_id, bit_count(xor(x.simhash, y.simhash))::int as distance from d x join d y on y.doc_id = x.doc_id + 1")
@@ -344,23 +344,54 @@ def mime_qualifying(spark, sf_dir):
 
 @query("with l as (select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href from pages) select page_id, count(*) as n_links from l group by page_id")
 def link_extract(spark, sf_dir):
-    found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    return _read(spark, sf_dir, "pages").select("page_id", F.explode(found)).groupBy("page_id").agg(F.count("*").alias("n_links"))
+    found = _read(spark, sf_dir, "pages").select("page_id", F.explode(html.page_links("html", "url")).alias("x")).where("x.kind = 'a/@href'")
+    return found.groupBy("page_id").agg(F.count("*").alias("n_links"))
 
 
-@query()
+_ABSOLUTE = (
+    "r as (select *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') as site, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) as path from l), "
+    "s as (select *, list_filter(string_split(rtrim(path, '/'), '/')[2:], lambda x: true) as folder, case when regexp_matches(href, '^/+$') then [] when starts_with(href, '/') "
+    "then string_split(rtrim(href, '/'), '/')[2:] when href = '' then [''] else string_split(rtrim(href, '/'), '/') end as names from r), "
+    "t as (select *, case when starts_with(href, '/') then []::varchar[] when ends_with(url, '/') then folder else folder[:len(folder) - 1] end as here from s), "
+    "f as (select *, list_reduce(list_prepend(here, list_transform(names, lambda n: [n])), lambda a, n: case when n[1] = '..' then a[:len(a) - 1] when n[1] = '.' then a else a || n end) as steps from t)"
+)
+
+
+@query(
+    "with l as (select page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href from pages), " + _ABSOLUTE
+    + " select page_id, href, case when regexp_matches(href, '^https?://') then href when not starts_with(href, '/') and not ends_with(url, '/') and len(folder) = 0 and path = '/' then null else site || '/' || array_to_string(steps, '/') end as target from f"
+)
 def absolute_url(spark, sf_dir):
-    found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    rows = _read(spark, sf_dir, "pages").select("page_id", "url", F.explode(found).alias("href"))
-    return rows.select("page_id", "href", urls.absolute_url("url", "href").alias("target"))
+    links = html.page_links("html", F.lit(None).cast("string"))
+    rows = _read(spark, sf_dir, "pages").select("page_id", "url", F.explode(links).alias("x")).where("x.kind = 'a/@href'")
+    return rows.select("page_id", F.col("x.value").alias("href"), urls.absolute_url(F.col("url"), F.col("x.value")).alias("target"))
 
 
-@query()
+# the text of a page, for pages whose text stands inside block elements: a new line wherever one begins or ends
+_ENTITIES = [("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("#x27", "''"), ("eacute", "é"), ("copy", "©"), ("middot", "·"), ("mdash", "—"), ("hellip", "…"), ("amp", "&")]
+
+
+def _unescaped(x: str) -> str:
+    for name, sign in _ENTITIES:
+        x = f"replace({x}, '&{name};', '{sign}')"
+    return x
+
+
+_PAGE_TEXT = (
+    "x as (select page_id, url, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', '', 'gs') as h from pages), "
+    "y as (select page_id, regexp_extract(h, '<title>([^<]*)</title>', 1) as title, regexp_extract(h, '<body[^>]*>(.*)', 1, 's') as h from x), "
+    f"z as (select page_id, title, regexp_replace(regexp_replace(regexp_replace(h, '[\\s\\x{{A0}}]+', ' ', 'g'), '</?({'|'.join(sorted(html.BLOCKS))})( [^>]*)?>', '\n', 'g'), '<[^>]*>', '', 'g') as h from y), "
+    "p as (select page_id, trim(regexp_replace(" + _unescaped("title") + ", '[\\s\\x{A0}]+', ' ', 'g')) as title, "
+    "trim(regexp_replace(regexp_replace(" + _unescaped("h") + ", '[ \\x{A0}]+', ' ', 'g'), ' ?\\n[ \\n]*', '\n', 'g'), E' \\n') as body from z)"
+)
+
+
+@query(f"with {_PAGE_TEXT} select page_id, title, body from p")
 def extract_text(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", html.extract_text("html").alias("t")).select("page_id", "t.title", "t.body")
 
 
-@query()
+@query(f"with {_PAGE_TEXT}, {_simhash_cte('f', "(select page_id, title || ' ' || body as text from p)", 'page_id')} select page_id, simhash from f")
 def page_simhash(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", html.page_simhash("html").alias("simhash"))
 
@@ -372,10 +403,10 @@ def main_text(spark, sf_dir):
 
 @query()
 def readable_page(spark, sf_dir):
-    return _read(spark, sf_dir, "pages").select("page_id", html.readable_page("html", "url").alias("r")).select("page_id", "r.title", "r.html", "r.text", "r.main_image_url")
+    return _read(spark, sf_dir, "pages").select("page_id", html.readable_page("html", "url").alias("r")).select("page_id", "r.*")
 
 
-@query()
+@query("select page_id, regexp_extract(url, '^https?://[^/?#]+') || '/' || (page_id % 7) || '/x' as section from pages")
 def section_head(spark, sf_dir):
     crumbs = F.concat(F.lit('<div class="breadcrumb"><a href="/">Home</a><a href="/'), F.col("page_id") % 7, F.lit('/x">S</a></div>'), F.col("html"))
     return _read(spark, sf_dir, "pages").select("page_id", html.section_head(crumbs, "url").alias("section"))
@@ -386,7 +417,8 @@ def clean_html(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", html.clean_html("html", "url").alias("html"))
 
 
-@query()
+# what DuckDB holds as text is valid UTF-8
+@query("select page_id, case when regexp_matches(lower(substr(html, 1, 1024)), '^\\s*<(!doctype\\s+html|html|head|body|title|h1|p|div|script|table|a )') then 'text/html' else 'text/plain' end as mime_type, 'UTF-8' as charset from pages")
 def sniff_content(spark, sf_dir):
     content = F.col("html").cast("binary")
     return _read(spark, sf_dir, "pages").select("page_id", sniff.mime_type(content).alias("mime_type"), sniff.detect_charset(content).alias("charset"))

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{getpass.getuser()}").rstrip("/")
+    """The folder named in spark.checkpoint.dir; where that is unset, a local one, but on a single machine only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or f"file:///tmp/checkpoints/{getpass.getuser()}").rstrip("/")
 
 
 def table(df: DataFrame) -> DataFrame:
@@ -19,3 +22,9 @@ def table(df: DataFrame) -> DataFrame:
     path = f"{folder(spark)}/webgauge-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files give fewer than half as many partitions (small tables in one file); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df

@@ -150,8 +150,10 @@ def content_text() -> Column:
 
 
 def header_lines() -> Column:
-    """The record's other header fields as text lines."""
-    return F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\r\n")
+    """The record's header fields as text lines, the known ones first."""
+    known = [F.concat(F.lit(f"{n}: "), F.col(c).cast("string")) for n, c in zip(KNOWN, ("record_type", "record_id", "warc_date", "content_type", "content_length"), strict=True)]
+    others = F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return F.array_join(F.concat(F.array_compact(F.array(*known)), others), "\r\n")
 
 
 def is_resource(kinds: tuple[str, ...] = ("response", "link")) -> Column:
