@@ -50,10 +50,10 @@ APART = frozenset("aside button dialog footer form iframe menu nav noscript obje
 SKIPPED_NAMES = frozenset("advert breadcrumb breadcrumbs comment comments footer menu nav navbar navigation pagination related share sharing sidebar social sponsored".split())
 _NAME_PARTS = re.compile("[A-Za-z]+")
 
-_VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-_CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_P_ENDS = frozenset("address article aside blockquote center div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-_FENCE = frozenset("ul ol dl table select div article section body td th blockquote".split())
+VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
+CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+P_ENDS = frozenset("address article aside blockquote center div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+FENCE = frozenset("ul ol dl table select div article section body td th blockquote".split())
 _SPACE = re.compile("[\\s\u00a0]+")
 
 
@@ -98,25 +98,25 @@ class _Builder(HTMLParser):
             self.at = self.at.parent
 
     def handle_starttag(self, tag, attrs):
-        ends = _CLOSED_BY.get(tag, set()) | ({"p"} if tag in _P_ENDS else set())
+        ends = CLOSED_BY.get(tag, set()) | ({"p"} if tag in P_ENDS else set())
         ends = {e for e in ends if self.open[e]}
         node = self.at
         while ends and node is not self.root:
             if node.tag in ends:
                 self._close(node)
                 break
-            if node.tag in _FENCE:
+            if node.tag in FENCE:
                 break
             node = node.parent
         new = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(new)
-        if tag not in _VOID:
+        if tag not in VOID:
             self.at = new
             self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
+        if tag not in VOID:
             self._close(self.at)
 
     def handle_endtag(self, tag):
@@ -409,8 +409,8 @@ def clean(source: str, url: str | None, drop_scripts: bool = True, disable_frame
             continue
         if node.tag != "#":
             inside = "".join(filter(None, (attribute(node, n, v) for n, v in node.attributes.items())))
-            out.append(f"<{node.tag}{inside} />" if not node.children and node.tag in _VOID else f"<{node.tag}{inside}>")
-            if node.tag not in _VOID:
+            out.append(f"<{node.tag}{inside} />" if not node.children and node.tag in VOID else f"<{node.tag}{inside}>")
+            if node.tag not in VOID:
                 stack.append(f"\u0000</{node.tag}>")
         if node.tag == "base" and node.attributes.get("href"):
             base = resolve(url, node.attributes["href"]) or base
