@@ -24,7 +24,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_mix_sources": mixing.OP1_SQL, "op3_ngram_jaccard": jaccard.OP3_SQL}
+    found = {"op1_mix_sources": mixing.OP1_SQL, "op3_ngram_jaccard": jaccard.OP3_SQL, "op8_near_vectors": crosspolytope.OP8_SQL}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
