@@ -48,6 +48,7 @@ APART = 10
 BLOCK = 2048
 CHUNK = 256
 SEED = 20240229
+SMALL = 64
 SEEN = 1 << 18  # identities that a task remembers, to send a vector once
 _PROBES = 3  # the bucket itself, and with either vertex replaced by its runner-up
 
@@ -208,11 +209,36 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a[:, None] ^ b[None]).view(np.uint64))
 
 
+def _sieve(batches: Iterator[pa.RecordBatch], apart: int) -> Iterator[pa.RecordBatch]:
+    """Sorted placed classes without the small buckets in which no two sketches are near (those at the ends of a batch stay)."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        change = np.zeros(n, bool)
+        for name in ("bucket", "i", "j"):
+            column = int64(batch.column(name))
+            change[1:] |= column[1:] != column[:-1]
+        group = np.cumsum(change)
+        own, bits, ids = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("own", "sketch", "id"))
+        stays = np.zeros(group[-1] + 1, bool)
+        stays[[0, -1]] = True
+        at, step = np.arange(n - 1), 1
+        while len(at := at[at + step < n]) and len(at := at[group[at + step] == group[at]]):
+            if step == SMALL:
+                stays[group[at]] = True
+                break
+            near = np.bitwise_count((bits[at] ^ bits[at + step]).view(np.uint64)) <= apart
+            stays[group[at[near & (own[at] | own[at + step]) & (ids[at] != ids[at + step])]]] = True
+            step += 1
+        yield batch.filter(pa.array(stays[group]))
+
+
 def _candidates(tables: int, apart: int):
     """Placed classes, sorted by (bucket, i, j) -> those that have a candidate which they meet here for the first time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket, i, j), table in groups(batches, 3, least=2):
+        for (bucket, i, j), table in groups(_sieve(batches, apart), 3, least=2):
             own = table["own"].to_numpy()
             if not own.any():
                 continue
