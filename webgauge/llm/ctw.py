@@ -14,12 +14,15 @@ mixing the estimates of all depths by their posterior weights.
 Beside it stands the base score, an add-0.1 unigram model of words.
 
 Plan.  Pass 1 counts words and grams of the training texts (merged per slice,
-dealt out packed by hash).  Grams are dealt by their two latest context bytes, so a
-part holds whole subtrees; the levels above are at most 255 * 257 nodes, which the
-driver finishes.  Pass 2 scores all texts.  The ``HOT_WORDS`` and ``HOT_GRAMS`` most
+dealt out packed by hash).  Grams are dealt by their ``DEALT`` = 3 latest context bytes, so a
+part holds whole subtrees, and the most frequent pair of bytes is spread over 256 of them;
+the levels above have at most 255 nodes for each pair of bytes that occurs (in UTF-8 text
+a few thousand pairs; never more than 65,536), which the driver finishes.  There are as
+many parts as hold about ``PART_BYTES`` of training text each, within limits.
+Pass 2 scores all texts.  The ``HOT_WORDS`` and ``HOT_GRAMS`` most
 frequent entries are broadcast (fixed size); all other occurrences go, packed, to
 the part that holds their counts and are added there, so every occurrence is scored
-with its true count.
+with its true count and in double precision.
 
 Edge cases: null text is empty and has the end token alone; a row with null doc_id
 is not held out and not learned from; rows repeated in full are scored (and counted
@@ -41,6 +44,9 @@ from .batches import blobs, int64, pieces, split_by
 from .common import materialize, read, remainder
 
 DEPTH = 5
+DEALT = 3
+PART_BYTES = 8 << 20
+MOST_PARTS = 1 << 14
 START, END = 0xFE, 0xFF  # no byte of UTF-8
 HOT_WORDS = 1 << 18
 HOT_GRAMS = 1 << 20
@@ -90,8 +96,13 @@ def _keys(run: np.ndarray, depth: int) -> np.ndarray:
     return keys
 
 
-def gram_part(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (K.mix((keys >> U(8)) & U(0xFFFF)) % U(parts)).astype(np.int64)
+def dealt(depth: int) -> int:
+    """The number of context bytes by which grams are dealt, which is the shallowest level of a part."""
+    return min(DEALT, depth)
+
+
+def gram_part(keys: np.ndarray, parts: int, depth: int) -> np.ndarray:
+    return (K.mix((keys >> U(8)) & U((1 << 8 * dealt(depth)) - 1)) % U(parts)).astype(np.int64)
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -157,18 +168,25 @@ class Level:
 
 
 def subtrees(keys: np.ndarray, counts: np.ndarray, depth: int) -> list[Level]:
-    """Levels depth, depth - 1, ..., 2 of the contexts in a part."""
-    nodes, zeros, ones = [], [], []
-    for node, bit in decisions(keys):
-        nodes.append(node)
-        ones.append(counts * bit.astype(np.int64))
-        zeros.append(counts - ones[-1])
-    found = [Level(*_fold(np.concatenate(nodes), np.concatenate(zeros), np.concatenate(ones)), None)]
-    for d in range(depth - 1, 1, -1):
+    """Levels depth, depth - 1, ..., dealt(depth) of the contexts in a part, of sorted keys."""
+    folded = []
+    for node, bit in decisions(keys):  # in the order of the keys, so equal nodes are neighbours
+        ones = counts * bit.astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.zeros(0, np.int64)
+        sums = [np.add.reduceat(x, first) if len(first) else x for x in (counts, ones)]
+        folded.append((node[first], sums[0] - sums[1], sums[1]))
+    nodes, zeros, ones = (np.concatenate(c) for c in zip(*folded, strict=True))
+    order = np.argsort(nodes, kind="stable")
+    found = [Level(nodes[order], zeros[order], ones[order], None)]
+    for d in range(depth - 1, dealt(depth) - 1, -1):
         found.append(found[-1].above(d))
     return found
 
 
+def no_subtrees(depth: int) -> list[Level]:
+    return [Level(np.zeros(0, U), np.zeros(0), np.zeros(0), None)] * (depth - dealt(depth) + 1)
+
+
 def log10_of(keys: np.ndarray, levels: list[Level], depth: int) -> np.ndarray:
     """log10 of the predictive probability of each gram; levels from the deepest to the root."""
     total = np.zeros(len(keys))
@@ -189,8 +207,8 @@ WORD_KIND, GRAM_KIND = 0, 1
 class _Merger:
     """Sums counts by key, and gives them up in packed rows."""
 
-    def __init__(self, kind: int, parts: int):
-        self.kind, self.parts, self.keys, self.counts, self.size = kind, parts, [], [], 0
+    def __init__(self, kind: int, parts: int, depth: int):
+        self.kind, self.parts, self.depth, self.keys, self.counts, self.size = kind, parts, depth, [], [], 0
 
     def add(self, keys: np.ndarray) -> None:
         k, c = K.tally(keys)
@@ -207,7 +225,7 @@ class _Merger:
     def rows(self) -> Iterator[pa.RecordBatch]:
         if self.keys:
             keys, counts = K.tally(np.concatenate(self.keys), np.concatenate(self.counts))
-            at = gram_part(keys, self.parts) if self.kind == GRAM_KIND else (keys % U(self.parts)).astype(np.int64)
+            at = gram_part(keys, self.parts, self.depth) if self.kind == GRAM_KIND else (keys % U(self.parts)).astype(np.int64)
             for k, (v, c) in split_by(at, self.parts, keys, counts.astype(np.int64)):
                 yield pa.RecordBatch.from_pydict({"kind": [self.kind], "part": [k], "keys": [v.tobytes()], "counts": [c.astype(np.uint32).tobytes()]}, schema=_PACK)
         self.keys, self.counts, self.size = [], [], 0
@@ -215,7 +233,7 @@ class _Merger:
 
 def _count(parts: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, byte_grams = _Merger(WORD_KIND, parts), _Merger(GRAM_KIND, parts)
+        words, byte_grams = _Merger(WORD_KIND, parts, depth), _Merger(GRAM_KIND, parts, depth)
         for batch in pieces(batches, 0, PIECE):
             words.add(K.words(batch.column(0))[0])
             for keys, _ in grams(batch.column(0), depth):
@@ -313,18 +331,41 @@ class HashTable:
 
 
 def _tops(depth: int):
-    """Packed gram counts of a part -> its share of the level of one-byte contexts."""
+    """Packed gram counts of a part -> its share of the level above its own."""
+    mask = U((1 << 8 * dealt(depth)) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, c in zip(batch.column(0), batch.column(1), strict=True):
                 level = subtrees(np.frombuffer(k.as_buffer(), U), np.frombuffer(c.as_buffer(), np.int64), depth)[-1]
-                nodes, zeros, ones, log = _fold(level.nodes & U(0xFFFF), level.zeros, level.ones, level.log)
+                nodes, zeros, ones, log = _fold(level.nodes & mask, level.zeros, level.ones, level.log)
                 yield pa.RecordBatch.from_pydict({"node": nodes.astype(np.int64), "zeros": zeros, "ones": ones, "log": log})
 
     return run
 
 
+_TOP_KINDS = (np.int64, np.int64, np.int64, np.float64)
+
+
+def _pack_tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False).astype(kind) for c, kind in zip(batch.columns, _TOP_KINDS, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["node", "zeros", "ones", "log"])
+
+
+def _upper(byte_counts: DataFrame, depth: int) -> list[Level]:
+    """The levels dealt(depth) - 1, ..., 0."""
+    tops = byte_counts.mapInArrow(_tops(depth), "node long, zeros long, ones long, log double")
+    tops = tops.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log").alias("log"))
+    rows = tops.mapInArrow(_pack_tops, "node binary, zeros binary, ones binary, log binary").collect()
+    node, zeros, ones, log = (np.concatenate([np.frombuffer(r[k], kind) for r in rows] or [np.zeros(0, kind)]) for k, kind in enumerate(_TOP_KINDS))
+    order = np.argsort(node)
+    levels = [Level(node[order].view(U), zeros[order], ones[order], log[order])]
+    for d in range(dealt(depth) - 2, -1, -1):
+        levels.append(levels[-1].above(d))
+    return levels
+
+
 def _evaluate(depth: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,7 +401,7 @@ def _score(parts: int, depth: int, shared):
         first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (r[1:] != r[:-1]))))
         times = np.diff(np.append(first, len(k))).astype(np.uint32)
         k, r = k[first], r[first]
-        at = gram_part(k, parts) if kind == GRAM_KIND else (k % U(parts)).astype(np.int64)
+        at = gram_part(k, parts, depth) if kind == GRAM_KIND else (k % U(parts)).astype(np.int64)
         for p, (v, w, t) in split_by(at, parts, k, r, times):
             yield pa.RecordBatch.from_pydict(
                 {c.name: [{"kind": kind, "part": p, "keys": v.tobytes(), "rids": w.tobytes(), "times": t.tobytes()}.get(c.name)] for c in _SCORED}, schema=_SCORED
@@ -415,7 +456,7 @@ def _add_cold(depth: int, shared):
         distinct, index = np.unique(asked, return_inverse=True)
         known = base = score = np.zeros(len(distinct))
         if sent["kind"][0].as_py() == GRAM_KIND:
-            score = log10_of(distinct, [*(subtrees(keys, counts, depth) if len(keys) else [Level(*[np.zeros(0, U)] + [np.zeros(0)] * 2, None)] * (depth - 1)), *shared.value], depth)
+            score = log10_of(distinct, [*(subtrees(keys, counts, depth) if len(keys) else no_subtrees(depth)), *shared.value], depth)
         else:
             at, there = K.find(keys, distinct)
             known = there.astype(float)
@@ -433,24 +474,21 @@ def score_documents(docs: DataFrame, held_out, depth: int = DEPTH, text: str = "
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"), (~held_out).alias("learn"))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    learned = docs.where("learn").agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2 * shuffles, min(learned[1] // PART_BYTES, MOST_PARTS))
     packed = docs.where("learn").select("text").mapInArrow(_count(parts, depth), "kind int, part long, keys binary, counts binary")
     counted = materialize(packed.groupBy("kind", "part").applyInArrow(_sum, _COUNTED))
-    ends = docs.where("learn").count()
+    ends = learned[0]
     word_total, word_kinds = counted.where(F.col("kind") == WORD_KIND).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("entries"), F.lit(0))).first()
     n, v = word_total + ends, word_kinds + (ends > 0)
 
     byte_counts = counted.where(F.col("kind") == GRAM_KIND).select("keys", "counts")
-    tops = byte_counts.mapInArrow(_tops(depth), "node long, zeros long, ones long, log double")
-    tops = tops.groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("log")).collect()  # 255 * 256 rows at most
-    tops.sort()
-    node, zeros, ones, log = (np.array([r[k] for r in tops], kind) for k, kind in enumerate((np.int64, np.int64, np.int64, np.float64)))
-    one_byte = Level(node.view(U), zeros, ones, log)
-    upper = spark.sparkContext.broadcast([one_byte, one_byte.above(0)])
+    upper = spark.sparkContext.broadcast(_upper(byte_counts, depth))
     scored = materialize(byte_counts.mapInArrow(_evaluate(depth, upper), "keys binary, counts binary, values binary"))
     words = counted.where(F.col("kind") == WORD_KIND).select("keys", "counts").mapInArrow(_word_values, "keys binary, counts binary, values binary")
     hot = spark.sparkContext.broadcast(
-        (HashTable(*_collect_hot(words, _floor_count(counted, WORD_KIND, HOT_WORDS))), HashTable(*_collect_hot(scored, _floor_count(counted, GRAM_KIND, HOT_GRAMS)), np.float32))
+        (HashTable(*_collect_hot(words, _floor_count(counted, WORD_KIND, HOT_WORDS))), HashTable(*_collect_hot(scored, _floor_count(counted, GRAM_KIND, HOT_GRAMS))))
     )
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
     first = materialize(numbered.mapInArrow(_score(parts, depth, hot), _SCORED_SQL))
