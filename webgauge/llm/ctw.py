@@ -54,6 +54,7 @@ ADD = 0.1
 MERGE = 1_000_000  # distinct entries held by a task before they are sent on
 SEND = 500_000  # occurrences of other entries held by a task
 PIECE = 1 << 19
+CELL = 256  # occurrences in a packed row
 U = np.uint64
 
 _LOG_HALF = float(np.log(0.5))
@@ -402,10 +403,14 @@ def _score(parts: int, depth: int, shared):
         times = np.diff(np.append(first, len(k))).astype(np.uint32)
         k, r = k[first], r[first]
         at = gram_part(k, parts, depth) if kind == GRAM_KIND else (k % U(parts)).astype(np.int64)
+        rows: dict[str, list] = {c: [] for c in ("part", "keys", "rids", "times")}
         for p, (v, w, t) in split_by(at, parts, k, r, times):
-            yield pa.RecordBatch.from_pydict(
-                {c.name: [{"kind": kind, "part": p, "keys": v.tobytes(), "rids": w.tobytes(), "times": t.tobytes()}.get(c.name)] for c in _SCORED}, schema=_SCORED
-            )
+            for lo in range(0, len(v), CELL):  # small cells: a reader holds thousands of rows at once
+                for c, x in (("part", p), ("keys", v[lo : lo + CELL].tobytes()), ("rids", w[lo : lo + CELL].tobytes()), ("times", t[lo : lo + CELL].tobytes())):
+                    rows[c].append(x)
+        n = len(rows["part"])
+        rows["kind"] = [kind] * n
+        yield pa.RecordBatch.from_pydict({c.name: rows.get(c.name, [None] * n) for c in _SCORED}, schema=_SCORED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, byte_grams = shared.value
