@@ -53,9 +53,9 @@ def test_leaks(spark):
     got = {(r.doc_id, r.item_id): r.verbatim for r in leaks(spark, docs).collect()}
     assert set(got) == {(2, 1), (5, 2), (6, 4), (None, 2), (9, 2), *((1, i) for d, i in got if d == 1), *((3, i) for d, i in got if d == 3)}
     assert (2, 1) in got and not got[2, 1] and got[5, 2]
-    assert (3, 1) not in got  # 12 stands for 12 and for 99
+    assert got[3, 1]  # 12 stands for 12 and for 99, but eleven words in a row are verbatim
     kept = D.drop_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string"))
-    assert {r.doc_id for r in kept.collect()} >= {3, 4, 7, 8, 10} and kept.where("doc_id in (2, 5, 6, 9)").count() == 0
+    assert {r.doc_id for r in kept.collect()} >= {4, 7, 8, 10} and kept.where("doc_id in (2, 3, 5, 6, 9)").count() == 0
     assert leaks(spark, docs[:0] or [(1, None)]).count() == 0
     assert D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
