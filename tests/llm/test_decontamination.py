@@ -96,6 +96,16 @@ def test_verbatim_windows_of_numbers_and_names(spark):
     assert {(r.doc_id, r.item_id, r.n_windows, r.verbatim) for r in leaks(spark, docs, items).collect()} == {(1, 1, 1, True), (4, 2, 1, True), (6, 3, 1, True), (8, 1, 1, True)}
 
 
+def test_short_items_match_whole_texts(spark):
+    items = [(1, "Who was Ada?"), (2, "2 + 2"), (3, "..."), (4, "x"), (None, "a b")]
+    docs = [(1, " who was\tADA"), (2, "Who was Ada Lovelace"), (3, "2 + 2"), (4, "2 - 2"), (5, "..."), (6, "X!"), (None, "x"), (7, ""), (8, None), (9, "a, b")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert D.find_leaks(*frames).count() == 0
+    got = {(r.doc_id, r.item_id, r.verbatim) for r in D.find_leaks(*frames, whole_texts=True).collect()}
+    assert got == {(1, 1, True), (3, 2, True), (6, 4, True), (None, 4, True), (9, None, True)}
+    assert {r.doc_id for r in D.drop_leaks(*frames, whole_texts=True).collect()} == {2, 4, 5, 7, 8}
+
+
 def test_recased_copies(spark):
     items = [(1, "When did Alice meet Bob near Paris and Rome with Carl or Dora in Oslo")]
     docs = [(k, f"x {text} y") for k, text in enumerate([items[0][1], items[0][1].lower(), items[0][1].upper(), items[0][1].title()])]

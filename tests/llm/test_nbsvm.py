@@ -44,6 +44,10 @@ def test_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = nbsvm.score_quality(docs, none).collect()
     assert len(rows) == 5 and {r.score for r in rows} == {0.5}
+    both = spark.createDataFrame([(1, "b b"), (1, "a a"), (2, "c")], "doc_id long, text string")
+    two = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    scores = [sorted((r.doc_id, r.text, r.score) for r in nbsvm.score_documents(x, nbsvm.train(x, two, F.lit(False))).collect()) for x in (both, both.orderBy("text"), both.orderBy(F.desc("text")))]
+    assert scores[0] == scores[1] == scores[2]
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 0), (3, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
     assert len(nbsvm.score_quality(docs, labels).collect()) == 5
     assert nbsvm.score_quality(docs.limit(0), labels).count() == 0

@@ -26,7 +26,8 @@ is a name, so a recased copy has another template.  Windows of fewer than ``LEAS
 words are joined in this way only, being no evidence with other slot values.
 
 Edge cases: null and empty texts have no windows; items of fewer than ``LEAST`` words do
-not take part, nor do windows with fewer words and operators together; null ids take
+not take part, or with ``whole_texts`` (as in the query) are matched by documents that consist of them
+alone (within a text such a run stands by chance); windows with fewer words and operators together do not take part; null ids take
 part; rows repeated in full are reported once by ``find_leaks`` and removed alike by
 ``drop_leaks``; empty tables give no leaks; extra columns are kept.
 """
@@ -109,15 +110,16 @@ def _exact(word: Column) -> Column:
     return F.when(word.rlike("[0-9]"), _slot(word)).when(word.rlike(OPERATOR), word).otherwise("")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS, whole_texts: bool = False) -> DataFrame:
     """(key, doc_id, item_id, n_windows, n_item_windows, verbatim) of documents that hold a passage of an item."""
     items = benchmark.select("item_id", F.col("text").alias("text"))
     sizes = items.select(F.size(F.split(plain_words(F.col("text")), " ")).alias("n")).where(F.col("n") >= LEAST)
     lengths = sorted(r[0] for r in sizes.select(F.least("n", F.lit(width)).alias("n")).distinct().collect())  # width - 3 values at most
     rows = docs.select(row_key("doc_id", "text").alias("key"), "doc_id", "text")
     found = [_matches(rows, items, n, n if n < width else 0, of) for n in lengths for of in ("words", "bare")]
+    short = _whole_texts(rows, items if whole_texts else items.limit(0))
     if not found:
-        return rows.limit(0).select("key", "doc_id", F.lit(0).cast(items.schema["item_id"].dataType).alias("item_id"), *[F.lit(0).cast("long").alias(c) for c in ("n_windows", "n_item_windows")], F.lit(True).alias("verbatim"))
+        return short
     matches = found[0]
     for more in found[1:]:
         matches = matches.union(more)
@@ -134,7 +136,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, litera
     both = passages.alias("p").join(judged.alias("j"), alike, "left").select("p.*", F.coalesce("consistent", F.lit(True)).alias("consistent"))
     counts = F.col("consistent") & (F.col("literals") >= F.least(F.lit(literals), "most"))
     good = both.withColumn("windows", F.col("verbatim") + F.when(counts, F.col("changed")).otherwise(0)).where("windows > 0")
-    return good.groupBy("key", "doc_id", "item_id").agg(F.sum("windows").alias("n_windows"), F.max("of").cast("long").alias("n_item_windows"), F.bool_or(F.col("verbatim") > 0).alias("verbatim"))
+    leaks = good.groupBy("key", "doc_id", "item_id").agg(F.sum("windows").alias("n_windows"), F.max("of").cast("long").alias("n_item_windows"), F.bool_or(F.col("verbatim") > 0).alias("verbatim"))
+    return leaks.union(short)
+
+
+def _whole_texts(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents whose whole text is that of an item of fewer than LEAST words, case and punctuation aside."""
+    spaced = plain_words(F.col("text"))
+    said = F.transform(F.split(spaced, " "), lambda w: F.when(w.rlike("[\\p{L}\\p{N}]"), F.when(w.rlike("[0-9]"), _slot(w)).otherwise(F.regexp_replace(F.lower(w), "[^\\p{L}\\p{N}]+", ""))).otherwise(w))
+    whole = lambda table, *keep: table.where((F.size(F.split(spaced, " ")) < LEAST) & spaced.rlike("[\\p{L}\\p{N}]")).select(*keep, F.array_join(said, " ").alias("said"))
+    found = whole(rows, "key", "doc_id").join(whole(items, "item_id"), "said").select("key", "doc_id", "item_id").distinct()
+    return found.select("key", "doc_id", "item_id", F.lit(1).cast("long").alias("n_windows"), F.lit(1).cast("long").alias("n_item_windows"), F.lit(True).alias("verbatim"))
 
 
 def _matches(rows: DataFrame, items: DataFrame, width: int, exactly: int, of: str) -> DataFrame:
@@ -188,11 +200,12 @@ def _matches(rows: DataFrame, items: DataFrame, width: int, exactly: int, of: st
     return found.select(*passage, "loose", "item_raw", "ours", slots.alias("slots")).select(*passage, "slots", same.alias("same"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, whole_texts: bool = False) -> DataFrame:
     """docs without the documents that hold a passage of a benchmark item."""
-    keys = materialize(find_leaks(docs, benchmark).select(F.col("key").alias("_leak_key")).distinct())
-    return docs.withColumn("_own_key", row_key("doc_id", "text")).join(keys, F.col("_own_key") == F.col("_leak_key"), "left_anti").drop("_own_key")
+    keys = materialize(find_leaks(docs, benchmark, whole_texts=whole_texts).select(F.col("key").alias("_leak_key"), F.col("doc_id").alias("_leak_id")).distinct())
+    same = (F.col("_own_key") == F.col("_leak_key")) & F.col("doc_id").eqNullSafe(F.col("_leak_id"))
+    return docs.withColumn("_own_key", row_key("doc_id", "text")).join(keys, same, "left_anti").drop("_own_key")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("key")
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), whole_texts=True).drop("key")

@@ -434,12 +434,13 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """docs with one document, that of the least doc_id, of each component; empty texts stay."""
     found = materialize(similar_documents(docs, text, doc_id).withColumn("group", F.coalesce("root", "key")))
     least = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
-    kept = materialize(least.select(F.col("first.key").alias("_kept_key"), (F.col("n") > F.col("keys")).alias("repeated")))
-    keyed = docs.withColumn("_row_key", row_key(doc_id, text))
-    left = keyed.join(kept.select("_kept_key"), F.col("_row_key") == F.col("_kept_key"), "left_semi")
+    kept = materialize(least.select(F.col("first.key").alias("_kept_key"), F.col("first.doc_id").alias("_kept_id"), (F.col("n") > F.col("keys")).alias("repeated")))
+    keyed = docs.withColumn("_row_key", row_key(doc_id, text)).withColumn("_row_id", F.col(doc_id).cast("long"))
+    same = (F.col("_row_key") == F.col("_kept_key")) & F.col("_row_id").eqNullSafe(F.col("_kept_id"))
+    left = keyed.join(kept.select("_kept_key", "_kept_id"), same, "left_semi")
     if not kept.where("repeated").isEmpty():  # rows alike in doc_id and text
-        left = left.dropDuplicates(["_row_key"])
-    return left.drop("_row_key")
+        left = left.dropDuplicates(["_row_key", "_row_id"])
+    return left.drop("_row_key", "_row_id")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ a shuffle.
 
 Edge cases: a null or empty text has no feature and gets the score of the bias;
 labels that are null are left out, and of several labels of a document the mean
-decides (a tie is 0); rows repeated in full get the same score; a null doc_id is not
+decides (a tie is 0), of several texts of a labelled document the first in order is learned from; rows repeated in full get the same score; a null doc_id is not
 held out and has no label; with no labels, or labels of one class, the score is that
 class's share; empty tables give no rows; extra columns are ignored.
 """
@@ -32,7 +32,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from . import textkernel as K
 from .batches import pieces
-from .common import read, remainder
+from .common import materialize, read, remainder
 
 BITS = 20
 SAMPLE = 6_000
@@ -180,19 +180,20 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SA
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out)
     chosen = chosen.groupBy("doc_id").agg((F.avg(label) > 0.5).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    spark = docs.sparkSession
-    wanted = {r[0]: r[1] for r in chosen.collect()}
-    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.binary())])
-    ids = spark.sparkContext.broadcast(np.array(sorted(wanted), np.int64))
+    chosen = materialize(chosen)
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int64()), ("x", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(np.isin(batch.column(0).fill_null(-1 << 62).to_numpy(), ids.value)))
-            for piece in pieces([batch], 1):
-                yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), pa.array([x.tobytes() for x in features(piece.column(1))], pa.binary())], schema=schema)
-
-    got = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x binary").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    return Model([np.frombuffer(r[1], np.int32) for r in got], np.array([wanted[r[0]] for r in got], np.float64))
+        for piece in pieces(batches, 2):
+            rows = pa.array([x.tobytes() for x in features(piece.column(2))], pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1).cast(pa.int64()), rows], schema=schema)
+
+    # at most ``sample`` ids, so they are broadcast and no other text leaves the JVM
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(chosen.select(F.col("doc_id").cast("long"), "y")), "doc_id").select("doc_id", "y", "text")
+    least = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # of several texts of a document the first in order
+    got = least.mapInArrow(run, "doc_id long, y long, x binary").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    return Model([np.frombuffer(r[2], np.int32) for r in got], np.array([r[1] for r in got], np.float64))
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", line: float = LINE) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import crosspolytope, ctw, decontamination, jaccard, linededup, mixing, nbsvm, pii, templates, tokencount
+from . import crosspolytope, ctw, decontamination, jaccard, linededup, mixing, nbsvm, pii, pipeline, templates, tokencount
 
 
 def queries() -> dict:
@@ -19,12 +17,12 @@ def queries() -> dict:
         "op8_near_vectors": crosspolytope.op8_near_vectors,
         "op9_personal_data": pii.op9_personal_data,
         "op10_ctw_scores": ctw.op10_ctw_scores,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_mix_sources": mixing.OP1_SQL, "op3_ngram_jaccard": jaccard.OP3_SQL, "op8_near_vectors": crosspolytope.OP8_SQL}
-    if corpus_pipeline.ORACLE_SQL:
-        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    found = {"op1_mix_sources": mixing.OP1_SQL, "op2_token_counts": tokencount.op2_sql(tokencount.load_pieces()), "op3_ngram_jaccard": jaccard.OP3_SQL, "op8_near_vectors": crosspolytope.OP8_SQL}
+    if pipeline.ORACLE_SQL:
+        found["pipeline"] = pipeline.ORACLE_SQL
     return found

@@ -19,6 +19,7 @@ rows are counted row by row; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -38,6 +39,8 @@ def load_pieces(path: str = VOCABULARY) -> list[str]:
     """The normal pieces of a sentencepiece model (no control, unknown or byte pieces)."""
     import sentencepiece
 
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no vocabulary at {path}: give count_tokens the pieces of another one (load_pieces(path))")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
 
@@ -163,3 +166,30 @@ def count_tokens(docs: DataFrame, pieces: list[str], start: str = START, text: s
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), load_pieces())
+
+
+def op2_sql(pieces: list[str], start: str = START) -> str:
+    """Greedy longest matching, a piece a round, of all distinct words at once."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"""
+with recursive v as (
+  select unnest([{", ".join(map(quoted, pieces))}]) as piece
+), d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+), u as (
+  select distinct unnest(w) as word from d
+), g as (
+  select word, {quoted(start)} || word as rest, 0 as n from u
+  union all
+  select word, substr(rest, max(l) + 1) as rest, n + 1 as n
+  from (select word, rest, n, unnest(range(1, {max(map(len, pieces)) + 1})) as l from g where rest <> '') c join v on v.piece = substr(rest, 1, l) and length(rest) >= l
+  group by word, rest, n
+), c as (
+  select word, max(n) filter (rest = '') as pieces from g group by word
+), e as (
+  select doc_id, unnest(w) as word from d
+)
+select d.doc_id, count(e.word)::bigint as n_words, coalesce(sum(case when e.word is not null then coalesce(c.pieces, 1) end), 0)::bigint as n_tokens,
+  count(e.word) filter (c.pieces is null)::bigint as n_unknown
+from d left join e on e.doc_id = d.doc_id left join c on c.word = e.word group by d.doc_id
+"""
