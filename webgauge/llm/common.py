@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webgauge.operators.components import components
+from webgauge.plans.scratch import spread
 from webgauge.plans.scratch import table as materialize
 
 __all__ = ["WORD", "components", "key_filter", "materialize", "passes", "read", "remainder", "row_key"]
@@ -17,7 +18,7 @@ FILTER_BITS = 1 << 25
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def row_key(*columns: str) -> Column:
