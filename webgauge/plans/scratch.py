@@ -25,6 +25,6 @@ def table(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where its files give fewer than half as many partitions (small tables in one file); else as it is."""
+    """df over all cores, where its files give fewer partitions than there are cores (small tables; a large one stays as it is)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
