@@ -301,3 +301,30 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_removed_lines", F.length("text").cast("long").alias("n_chars_kept"), "text")
+
+
+#: Runs as texts: the shortest of 50 words that begin, and that end, at each line; all but the first place of a run go.
+OP7_SQL = """
+with l as (
+  select doc_id, string_split(text, E'\\n') as lines from documents where text is not null
+), t as (
+  select doc_id, lines, list_transform(lines, lambda x: trim(x, E' \\t\\x0b\\x0c\\r')) as bare from l
+), e as (
+  select doc_id, i, lines[i] as line, len(regexp_extract_all(lines[i], '[^\\x20\\x09-\\x0D]+')) as w
+  from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from t)
+), c as (
+  select doc_id, i, w, sum(w) over (partition by doc_id order by i) as upto from e
+), b as (
+  select x.doc_id, x.i as a, min(y.i) as z from c x join c y on x.doc_id = y.doc_id and y.i >= x.i and y.upto - x.upto + x.w >= 50 group by x.doc_id, x.i
+  union
+  select x.doc_id, max(x.i) as a, y.i as z from c x join c y on x.doc_id = y.doc_id and y.i >= x.i and y.upto - x.upto + x.w >= 50 group by x.doc_id, y.i
+), r as (
+  select b.doc_id, a, z, row_number() over (partition by array_to_string(bare[a:z], E'\\n'), z - a order by b.doc_id, a) as n from b join t on t.doc_id = b.doc_id
+), g as (
+  select distinct doc_id, unnest(range(a, z + 1)) as i from r where n > 1
+), k as (
+  select e.doc_id, count(g.i) as n_removed_lines, coalesce(string_agg(line, E'\\n' order by e.i) filter (g.i is null), '') as text
+  from e left join g on g.doc_id = e.doc_id and g.i = e.i group by e.doc_id
+)
+select d.doc_id, coalesce(n_removed_lines, 0)::bigint as n_removed_lines, length(k.text)::bigint as n_chars_kept, k.text as text from documents d left join k on k.doc_id = d.doc_id
+"""

@@ -22,7 +22,15 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_mix_sources": mixing.OP1_SQL, "op2_token_counts": tokencount.op2_sql(tokencount.load_pieces()), "op3_ngram_jaccard": jaccard.OP3_SQL, "op8_near_vectors": crosspolytope.OP8_SQL}
+    found = {
+        "op1_mix_sources": mixing.OP1_SQL,
+        "op2_token_counts": tokencount.op2_sql(tokencount.load_pieces()),
+        "op3_ngram_jaccard": jaccard.OP3_SQL,
+        "op6_main_texts": templates.OP6_SQL,
+        "op7_line_dedup": linededup.OP7_SQL,
+        "op8_near_vectors": crosspolytope.OP8_SQL,
+        "op9_personal_data": pii.OP9_SQL,
+    }
     if pipeline.ORACLE_SQL:
         found["pipeline"] = pipeline.ORACLE_SQL
     return found

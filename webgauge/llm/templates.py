@@ -481,3 +481,18 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
 def op6_main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(read(spark, sf_dir, "pages"))
+
+
+#: The text of the article element, for pages whose main text is that of one.
+OP6_SQL = """
+with a as (
+  select page_id, url, replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '<br>', ' ') as h from pages
+), b as (
+  select page_id, url, list_transform(string_split_regex(h, '</?(p|h1)>'), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) as parts from a
+), c as (
+  select page_id, url, list_transform(parts, lambda x: replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')) as parts from b
+), d as (
+  select page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '[\\s\\x{A0}]+', ' ', 'g'))), lambda x: x <> ''), E'\\n') as text from c
+)
+select page_id, url, text, length(text)::bigint as n_chars from d
+"""
