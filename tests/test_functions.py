@@ -150,3 +150,21 @@ def test_cleaning_links():
         assert want in cleaned, (want, cleaned)
     assert '@import url("http://h.org/b/p.css"); @import url("http://h.org/b/q.css");a > b{}' in cleaned
     assert html.clean(cleaned, "http://h.org/a") == cleaned
+
+
+def test_second_charset_opinion():
+    assert sniff.charset_alt(b"plain") == "UTF-8" and sniff.charset_alt("é à".encode()) == "UTF-8"
+    assert sniff.charset_alt(b"x" * 200 + "日本語の文章です".encode("euc_jp")) == "euc_jp"
+    assert sniff.charset_alt("где мой дом".encode("cp1251") + b"\xff") in ("windows-1252", "euc_jp", "shift_jis", "euc_kr", "gb18030", "big5")
+    assert sniff.charset_alt("caf\u00e9 est ouvert".encode("latin-1")) == "windows-1252"
+
+
+def test_document():
+    from xml.dom.minidom import parseString
+
+    source = '<html lang=en><p 1x="a" b="c\x01">t &amp; u<my:tag>gone</my:tag><br></p><x<y>z</x></html>tail'
+    document = html.to_dom(source)
+    again = parseString(html.to_bytes(document))
+    assert again.documentElement.getAttribute("lang") == "en" and again.getElementsByTagName("p")[0].getAttribute("b") == "c"
+    assert "gone" not in again.toxml() and "t &amp; u" in again.toxml() and "tail" in again.toxml()
+    assert again.documentElement.tagName == html.to_dom("").documentElement.tagName == "html"

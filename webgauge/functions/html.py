@@ -10,6 +10,7 @@ import html as entities
 import re
 from collections import Counter
 from html.parser import HTMLParser
+from xml.dom.minidom import Document
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -332,6 +333,40 @@ def _strings(node: Node):
             stack.extend(reversed(child.children))
 
 
+_NOT_XML = re.compile("[^\t\n\r\u0020-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+_XML_NAME = re.compile(r"[A-Za-z_][-\w.]*")
+
+
+def to_dom(source: str) -> Document:
+    """The page as a W3C document; elements without a legal name go with what they hold, attributes without one go."""
+    document = Document()
+    top = document.createElement("html")
+    document.appendChild(top)
+    root = parse(source)
+    htmls = [c for c in root.children if isinstance(c, Node) and c.tag == "html"]
+    for name, value in (htmls[0].attributes if htmls else {}).items():
+        if _XML_NAME.fullmatch(name):
+            top.setAttribute(name, value)
+    inner = [x for c in root.children for x in (c.children if isinstance(c, Node) and c.tag == "html" else [c])]
+    stack = [(c, top) for c in reversed(inner)]
+    while stack:
+        node, parent = stack.pop()
+        if isinstance(node, str):
+            parent.appendChild(document.createTextNode(_NOT_XML.sub("", node)))
+        elif _XML_NAME.fullmatch(node.tag):
+            element = document.createElement(node.tag)
+            for name, value in node.attributes.items():
+                if _XML_NAME.fullmatch(name):
+                    element.setAttribute(name, _NOT_XML.sub("", value))
+            parent.appendChild(element)
+            stack.extend((c, element) for c in reversed(node.children))
+    return document
+
+
+def to_bytes(document: Document) -> bytes:
+    return document.toxml("utf-8")
+
+
 def links_of(source: str, url: str | None) -> list[tuple[str, str, str | None]]:
     """(element/@attribute, value, absolute URL) of all URL attributes of a page, in page order."""
     base, found = url, []

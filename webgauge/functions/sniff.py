@@ -63,6 +63,31 @@ def charset(content: bytes) -> str:
     return "windows-1252"
 
 
+# tried in this order on the bytes from the first non-ASCII one on; a multi-byte set must decode them strictly
+_MULTIBYTE = ["utf-8", "euc_jp", "shift_jis", "euc_kr", "gb18030", "big5"]
+
+
+def charset_alt(content: bytes) -> str:
+    """A second opinion, from the bytes alone: plain ASCII reads as UTF-8; else the first set that
+    decodes the non-ASCII part into letters mostly; UTF-8 if there is none."""
+    head = content[:SNIFFED]
+    first = next((k for k, b in enumerate(head) if b >= 0x80), None)
+    if first is None:
+        return "UTF-8"
+    part = head[first:]
+    for name in _MULTIBYTE:
+        try:
+            text = codecs.getincrementaldecoder(name)().decode(part, len(content) <= SNIFFED)
+        except UnicodeDecodeError:
+            continue
+        strange = [c for c in text if ord(c) >= 0x80]
+        if name == "utf-8" or sum(c.isalpha() for c in strange) * 10 >= len(strange) * 8 and not any("\ue000" <= c <= "\uf8ff" for c in strange):
+            return "UTF-8" if name == "utf-8" else name
+    text = part.decode("windows-1252", "replace")
+    strange = [c for c in text if ord(c) >= 0x80]
+    return "windows-1252" if sum(c.isalpha() for c in strange) * 2 >= len(strange) else "UTF-8"
+
+
 def decode(content: bytes | None) -> str | None:
     return None if content is None else content.decode(charset(content), "replace")
 
