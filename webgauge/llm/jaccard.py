@@ -61,6 +61,7 @@ WIDTH = 5
 SLICE = 2_000_000  # shingles handled at once
 PAIR_SLICE = 4_000_000  # and among classes that may have a partner: the larger, the fewer regions a class is in
 ORDER_SIZE = 1 << 20
+LIGHT = 64
 CHUNK = 128
 BLOCK = 512
 
@@ -272,15 +273,18 @@ def _sum_shared(table: pa.Table) -> pa.Table:
 
 
 def _first_prefixes(parts: int, shared):
-    """(id, shingles) -> packed shingles of their first prefixes, each with the least class of
-    the slice; left and right have the other classes with that one."""
+    """(id, shingles) -> packed shingles of their first prefixes with all classes that have them; of one that
+    more than LIGHT classes of the slice have the least class only (marked), and in left and right the others with that one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = ((i, np.frombuffer(s.as_buffer(), np.uint64)) for b in batches for i, s in zip(b.column(0).to_pylist(), b.column(1), strict=True))
         for turn, (s, who, ids) in enumerate(_prefixes(sets, shared.value, 0, PAIR_SLICE)):
             starts, run_of = _runs(s)
-            pairs = _distinct_pairs(ids[who], ids[who[starts]][run_of])
-            yield from _packed(parts, turn, s[starts], who[starts], ids, pairs[:, 0], pairs[:, 1])
+            heavy = (np.diff(np.append(starts, len(s))) > LIGHT)[run_of]
+            pairs = _distinct_pairs(ids[who[heavy]], ids[who[starts]][run_of[heavy]])
+            sent = ~heavy
+            sent[starts] = True
+            yield from _packed(parts, turn, (s | (heavy * SHARED))[sent], who[sent], ids, pairs[:, 0], pairs[:, 1])
 
     return run
 
@@ -289,16 +293,23 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([a[a != b], b[a != b]], 1), axis=0)
 
 
+LOCAL, LED, DIRECT = 0, 1, 2
+
+
 def _meet(table: pa.Table) -> pa.Table:
-    """One part -> (member, region) of classes that share a first shingle, in one slice or across slices (far)."""
-    s, who, _, left, right = _unpacked(table)
-    far = np.zeros((0, 2), np.int64)
+    """One part -> (member, region, kind): LOCAL, a class and the least one of its slice that shares a heavy shingle;
+    LED, such a least one and the least of all slices for that shingle, perhaps itself; DIRECT, any other class and that."""
+    s, who, heavy, left, right = _unpacked(table)
+    led = direct = np.zeros((0, 2), np.int64)
     if len(s):
         by = np.lexsort((who, s))
-        s, who = s[by], who[by]
+        s, who, heavy = s[by], who[by], heavy[by]
         starts, run_of = _runs(s)
-        far = _distinct_pairs(who, who[starts][run_of])
-    return pa.table({"member": np.concatenate([left, far[:, 0]]), "region": np.concatenate([right, far[:, 1]]), "far": np.repeat([False, True], [len(left), len(far)])})
+        pairs = np.stack([who, who[starts][run_of]], 1)
+        led = np.unique(pairs[heavy], axis=0)
+        direct = _distinct_pairs(*pairs[~heavy].T)
+    member, region = (np.concatenate(x) for x in ((left, led[:, 0], direct[:, 0]), (right, led[:, 1], direct[:, 1])))
+    return pa.table({"member": member, "region": region, "kind": pa.array(np.repeat([LOCAL, LED, DIRECT], [len(left), len(led), len(direct)]).astype(np.int32))})
 
 
 def _member_sets(shared):
@@ -387,11 +398,11 @@ def links(docs: DataFrame, profile: DataFrame, classes: DataFrame, text: str) ->
     sets = docs.select("key", text).mapInArrow(_member_sets(key_filter(spark, able.select(F.col("its").alias("key")))), "key long, id long, shingles binary")
     sets = materialize(sets.join(able.hint("merge"), "id").where("key = its").groupBy("id").agg(F.min("shingles").alias("shingles")))
     few = int((able.agg(F.sum("n")).first()[0] or 0) // (4 * PAIR_SLICE)) + 1  # so many slices that each is full
-    met = sets.coalesce(few).mapInArrow(_first_prefixes(6 + 4 * few, order), _PACKED_SQL).groupBy("part").applyInArrow(_meet, "member long, region long, far boolean")
+    met = sets.coalesce(few).mapInArrow(_first_prefixes(6 + 4 * few, order), _PACKED_SQL).groupBy("part").applyInArrow(_meet, "member long, region long, kind int")
     met = materialize(met.distinct())
-    local, far = met.where("not far").drop("far"), met.where("far").drop("far")
-    through = local.join(far.select(F.col("member").alias("region"), F.col("region").alias("top")), "region").select("member", F.col("top").alias("region"))
-    regions = materialize(local.union(far).union(through).select("member", F.col("region").alias("pivot")).where("member <> pivot").distinct())
+    of = lambda kind: met.where(F.col("kind") == kind).drop("kind")
+    through = of(LOCAL).join(of(LED).select(F.col("member").alias("region"), F.col("region").alias("top")), "region").select("member", F.col("top").alias("region"))
+    regions = materialize(of(DIRECT).union(of(LED)).union(through).select("member", F.col("region").alias("pivot")).where("member <> pivot").distinct())
 
     sizes = materialize(regions.groupBy("pivot").count())
     chunked = regions.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.ceil(F.col("count") / CHUNK)).alias("chunk"), "member")
