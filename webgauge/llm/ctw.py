@@ -49,10 +49,10 @@ PART_BYTES = 8 << 20
 MOST_PARTS = 1 << 14
 START, END = 0xFE, 0xFF  # no byte of UTF-8
 HOT_WORDS = 1 << 18
-HOT_GRAMS = 1 << 20
+HOT_GRAMS = 1 << 19
 ADD = 0.1
-MERGE = 1_000_000  # distinct entries held by a task before they are sent on
-SEND = 500_000  # occurrences of other entries held by a task
+MERGE = 400_000  # distinct entries held by a task before they are sent on
+SEND = 250_000  # occurrences of other entries held by a task
 PIECE = 1 << 19
 CELL = 256  # occurrences in a packed row
 U = np.uint64

@@ -49,7 +49,7 @@ _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U64), np.ones(1, U64))
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, CHUNK + 4096)
+        size = max(n, CHUNK // 4 + 4096 if n <= CHUNK // 4 + 4096 else CHUNK + 4096)
         tables = []
         for base in (_BASE, _BASE_INVERSE):
             steps = np.full(size, base, dtype=U64)
