@@ -34,8 +34,9 @@ the corpus; the ``ORDER_SIZE`` most frequent go last, by magnitude of their coun
 and the rest by hash.  This table has a fixed size limit and changes no result.
 
 Plan: three scans of the texts; shuffled are eight bytes for each shingle of the
-prefixes (packed, dealt by hash, one a slice), and the sets of those classes alone
-that may have a partner.
+prefixes (packed, dealt by hash), and the sets of those classes alone that may have a
+partner.  A shingle that more than ``LIGHT`` classes of a slice have goes on with the least
+of them only, so no part grows with a large group.
 
 Edge cases: null texts and texts without words are empty, link with nothing and
 are their own component; fewer than five words form one shingle; rows repeated in
