@@ -85,3 +85,9 @@ def test_reports(spark):
     sizes = {r.capture: r for r in reports.size(a, b).collect()}
     assert sizes["AB"].n_rows == 5 and sizes["AB"].share == 1.0
     assert reports.diversity(a.limit(0)).first().diversity is None
+
+
+def test_near_pairs_are_joined_without_a_broadcast(spark):
+    words = spark.range(50).withColumnRenamed("id", "simhash")
+    plan = neardup.near_pairs(words)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

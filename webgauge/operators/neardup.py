@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from .components import components
 
 NEAR = 4  # distances below are near
 BLOCKS = 6
+ROWS = 1_000_000  # keyed rows that one task deals out
 
 
 def _keys(simhash: Column, within: int, blocks: int) -> Column:
@@ -29,22 +31,35 @@ def near_pairs(fingerprints: DataFrame, near: int = NEAR, blocks: int = BLOCKS,
     Words at distance d < near agree in blocks - d of their blocks, so an equi-join on all
     choices of so many blocks finds every pair; a key has 32 bits or so, so buckets stay small.
     """
-    words = fingerprints.where("simhash is not null").select(*by, "simhash").distinct()
-    keyed = words.select(*by, "simhash", F.explode(_keys(F.col("simhash"), near - 1, blocks)).alias("key"))
+    return _pairs(_words(fingerprints, by), near, blocks, by)
+
+
+def _words(fingerprints: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    return table(fingerprints.where("simhash is not null").select(*by, "simhash").distinct())
+
+
+def _pairs(words: DataFrame, near: int, blocks: int, by: tuple[str, ...]) -> DataFrame:
+    """near_pairs of a table of distinct fingerprints.
+
+    Its size tells nothing of the rows after the explode, so their partitions are counted here
+    (a number that adaptive execution keeps) and the join is told not to broadcast them.
+    """
+    slices = 1 + words.count() * comb(blocks, near - 1) // ROWS
+    keyed = words.repartition(slices, "simhash").select(*by, "simhash", F.explode(_keys(F.col("simhash"), near - 1, blocks)).alias("key"))
     left, right = keyed.withColumnRenamed("simhash", "a"), keyed.withColumnRenamed("simhash", "b")
-    pairs = left.join(right, [*by, "key"]).where("a < b").withColumn("distance", distance(F.col("a"), F.col("b")))
+    pairs = left.hint("merge").join(right, [*by, "key"]).where("a < b").withColumn("distance", distance(F.col("a"), F.col("b")))
     return pairs.where(F.col("distance") < near).select(*by, "a", "b", "distance").distinct()
 
 
 def clusters(fingerprints: DataFrame, near: int = NEAR, by: tuple[str, ...] = ()) -> DataFrame:
     """(by.., simhash, cluster) for each distinct fingerprint: the least one that a chain of near ones reaches."""
-    words = fingerprints.where("simhash is not null").select(*by, "simhash").distinct()
+    words = _words(fingerprints, by)
     if not by:
-        found = components(near_pairs(words, near).select("a", "b"))
+        found = components(_pairs(words, near, BLOCKS, by).select("a", "b"))
         return words.join(found, words.simhash == found.node, "left").select("simhash", F.coalesce("component", "simhash").alias("cluster"))
     node = lambda c: F.xxhash64(*by, c)
-    found = components(near_pairs(words, near, by=by).select(node("a").alias("a"), node("b").alias("b")))
-    joined = table(words.withColumn("node", node("simhash"))).join(found, "node", "left")
+    found = components(_pairs(words, near, BLOCKS, by).select(node("a").alias("a"), node("b").alias("b")))
+    joined = words.withColumn("node", node("simhash")).join(found, "node", "left")
     return joined.select(*by, "simhash", F.coalesce("component", "node").alias("cluster"))
 
 
