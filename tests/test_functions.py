@@ -168,3 +168,13 @@ def test_document():
     assert again.documentElement.getAttribute("lang") == "en" and again.getElementsByTagName("p")[0].getAttribute("b") == "c"
     assert "gone" not in again.toxml() and "t &amp; u" in again.toxml() and "tail" in again.toxml()
     assert again.documentElement.tagName == html.to_dom("").documentElement.tagName == "html"
+
+
+def test_queries_of_pages_read_references_with_a_semicolon_only(spark):
+    cut = "<title>a &amp; b&amp</title><body><p>c&copy d&notit; &#39;e&#39 \ue000&lt;f&amp;amp;</p>"
+    assert html.extract(cut) == ("a & b&", "c\u00a9 d\u00acit; 'e' \ue000<f&amp;")
+    assert html.extract(cut, ended=True) == ("a & b&amp", "c&copy d&notit; 'e&#39 \ue000<f&amp;")
+    df = spark.createDataFrame([("<title>one two three b&amp</title><body><p>four five</p>",)], "h string")
+    row = df.select(html.extract_text("h").alias("t"), html.page_simhash("h").alias("s")).first()
+    assert row.t.title == "one two three b&amp"
+    assert row.s == hashing.fingerprint("one two three b amp four five".split())
