@@ -178,3 +178,12 @@ def test_queries_of_pages_read_references_with_a_semicolon_only(spark):
     row = df.select(html.extract_text("h").alias("t"), html.page_simhash("h").alias("s")).first()
     assert row.t.title == "one two three b&amp"
     assert row.s == hashing.fingerprint("one two three b amp four five".split())
+
+
+def test_shingles_are_told_apart_as_strings(spark):
+    odd = ["a", "\0", "\1", "\0a", None, "", "\1c", "\0", "\1b", "a", "\0", "\1", "\0a", "x"]
+    df = spark.createDataFrame([(odd,), (["a", "b", "c"],), ([],), (None,)], "w array<string>")
+    rows = df.select(hashing.shingle_keys(F.col("w")).alias("k"), hashing.shingles(F.col("w")).alias("s"), hashing.shingles(F.col("w"), include_last=True).alias("all")).collect()
+    want = list(dict.fromkeys(tuple(odd[k : k + 3]) for k in range(len(odd) - 3)))
+    assert [tuple(run) for run in rows[0].s] == want and len(set(rows[0].k)) == len(rows[0].k) == len(want) < len(odd) - 3
+    assert [r.s for r in rows[1:]] == [[], [], []] and rows[1]["all"] == [["a", "b", "c"]]

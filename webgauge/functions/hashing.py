@@ -40,11 +40,25 @@ def java_hash(word: Column) -> Column:
     return F.when(F.length(word) == 0, F.lit(0).cast("long")).otherwise(value)
 
 
+def shingle_keys(words: Column, width: int = WIDTH, include_last: bool = False) -> Column:
+    """Distinct runs of ``width`` tokens, each as one string.
+
+    Strings are told apart by their hashes, arrays pair by pair; and a slice copies all of its array,
+    so tokens are taken one by one.  Between tokens stands \\0; of a token, \\1a is \\1, \\1b is \\0, \\1c is null.
+    """
+    last = F.size(words) - width + (1 if include_last else 0)
+    odd = lambda w: F.contains(w, F.lit("\0")) | F.contains(w, F.lit("\1"))
+    escaped = lambda w: F.replace(F.replace(w, F.lit("\1"), F.lit("\1a")), F.lit("\0"), F.lit("\1b"))
+    plain = F.transform(words, lambda w: F.when(w.isNull(), F.lit("\1c")).when(odd(w), escaped(w)).otherwise(w))
+    runs = lambda p: F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.concat_ws("\0", *[F.get(p, i + k) for k in range(width)]))
+    found = F.transform(F.array(plain), lambda p: F.array_distinct(runs(p)))[0]  # plain is worked out once
+    return F.when(last >= 1, found).otherwise(F.array().cast("array<string>"))
+
+
 def shingles(words: Column, width: int = WIDTH, include_last: bool = False) -> Column:
     """Distinct runs of ``width`` tokens; the last run is dropped unless asked for."""
-    last = F.size(words) - width + (1 if include_last else 0)
-    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.slice(words, i, width))
-    return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<array<string>>"))
+    back = lambda w: F.when(w != "\1c", F.replace(F.replace(w, F.lit("\1b"), F.lit("\0")), F.lit("\1a"), F.lit("\1")))
+    return F.transform(shingle_keys(words, width, include_last), lambda key: F.transform(F.split(key, "\0"), back))
 
 
 def shingle_hash(run: Column) -> Column:

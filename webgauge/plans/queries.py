@@ -136,8 +136,8 @@ def java_hash(spark, sf_dir):
 
 @query(f"with t as (select doc_id, {_TOKENS} as w from documents) select doc_id, (case when len(w) > 3 then len(list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i:i+2]))) else 0 end)::int as n_shingles from t")
 def shingles(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", hashing.tokens(F.col("text")).alias("w"))
-    return docs.select("doc_id", F.size(hashing.shingles(F.col("w"))).alias("n_shingles"))
+    docs = spread(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", hashing.tokens(F.col("text")).alias("w"))
+    return docs.select("doc_id", F.size(hashing.shingle_keys(F.col("w"))).alias("n_shingles"))
 
 
 _DOCS = _simhash_cte("d", "documents", "doc_id")
