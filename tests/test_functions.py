@@ -187,3 +187,26 @@ def test_shingles_are_told_apart_as_strings(spark):
     want = list(dict.fromkeys(tuple(odd[k : k + 3]) for k in range(len(odd) - 3)))
     assert [tuple(run) for run in rows[0].s] == want and len(set(rows[0].k)) == len(rows[0].k) == len(want) < len(odd) - 3
     assert [r.s for r in rows[1:]] == [[], [], []] and rows[1]["all"] == [["a", "b", "c"]]
+
+
+def test_batches_are_turned_into_python_objects_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    held, most = [0], [0]
+
+    class Seen(str):
+        def __new__(cls, value):
+            held[0] += 1
+            most[0] = max(most[0], held[0])
+            return super().__new__(cls, value)
+
+        def __del__(self):
+            held[0] -= 1
+
+    real = html.readable_content
+    monkeypatch.setattr(html, "readable_content", lambda s, u: tuple(Seen(x) if isinstance(x, str) else x for x in real(s, u)))
+    pages = pa.array([f"<title>t{k}</title><p>text {k}</p>" for k in range(1000)] + [None])
+    out = html.readable_page.func(pages, pa.nulls(1001, pa.string())).to_pylist()
+    assert [r["title"] for r in out] == [f"t{k}" for k in range(1000)] + [""] and most[0] <= 4 * html.PIECE
+    assert hashing.simhash.func(pa.array(["a b c d", None])).to_pylist() == [hashing.fingerprint("a b c d".split()), None]
+    assert html.readable_page.func(pages[:0], pages[:0]).to_pylist() == []

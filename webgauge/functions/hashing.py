@@ -13,6 +13,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -23,6 +24,7 @@ except ImportError:  # pragma: no cover
     regex = None
 
 WIDTH = 3
+MEMO = 100_000  # words whose hashes a worker holds
 TOKEN_PATTERN = "[\\p{L}\\p{N}]+"
 
 
@@ -108,7 +110,7 @@ def fingerprint(words: list[str], width: int = WIDTH, include_last: bool = False
     for w in words:
         h = memo.get(w)
         if h is None:
-            if len(memo) > 500_000:
+            if len(memo) > MEMO:
                 memo.clear()
             h = memo[w] = _java_hash(w)
         parts.append(h)
@@ -120,11 +122,11 @@ def fingerprint(words: list[str], width: int = WIDTH, include_last: bool = False
     return int(np.packbits(chosen).view(">i8")[0])
 
 
-@F.pandas_udf(LongType())
-def simhash(text: pd.Series) -> pd.Series:
-    """Fingerprint of a text (regex tokens); null for null."""
+@F.arrow_udf(LongType())
+def simhash(text: pa.Array) -> pa.Array:
+    """Fingerprint of a text (regex tokens); null for null.  Of an Arrow batch one text at a time is a Python string."""
     memo: dict = {}
-    return pd.Series([None if t is None else fingerprint(tokenize(t), memo=memo) for t in text], dtype="Int64")
+    return pa.array((None if (t := x.as_py()) is None else fingerprint(tokenize(t), memo=memo) for x in text), pa.int64())
 
 
 @F.pandas_udf(LongType())
