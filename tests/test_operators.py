@@ -91,3 +91,9 @@ def test_near_pairs_are_joined_without_a_broadcast(spark):
     words = spark.range(50).withColumnRenamed("id", "simhash")
     plan = neardup.near_pairs(words)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_keyed_words_are_dealt_out_in_counted_slices(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "ROWS", 100)
+    plan = neardup.near_pairs(spark.range(50).withColumnRenamed("id", "simhash"))._jdf.queryExecution().executedPlan().toString()
+    assert "11), REPARTITION_BY_NUM" in plan
