@@ -97,3 +97,19 @@ def test_keyed_words_are_dealt_out_in_counted_slices(spark, monkeypatch):
     monkeypatch.setattr(neardup, "ROWS", 100)
     plan = neardup.near_pairs(spark.range(50).withColumnRenamed("id", "simhash"))._jdf.queryExecution().executedPlan().toString()
     assert "11), REPARTITION_BY_NUM" in plan
+
+
+def test_counted_slices_are_those_of_the_join_too(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [rng.getrandbits(63) for _ in range(20)]
+    rows = [(g, w ^ d) for g in ("s", "t") for w in words for d in (0, 1 << rng.randrange(63), 7)]
+    df = spark.createDataFrame(rows, "section_head string, simhash long").coalesce(1)
+    few = {tuple(r) for r in neardup.near_pairs(df, by=("section_head",)).collect()}
+    monkeypatch.setattr(neardup, "ROWS", 300)
+    pairs = neardup.near_pairs(df, by=("section_head",))
+    slices = 1 + 20 * len(set(rows)) // 300
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(section_head" in line and f", {slices}), REPARTITION_BY_NUM" in line]
+    assert len(dealt) == 2 and "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {tuple(r) for r in pairs.collect()} == few
+    assert few == {(g, a, b, bin(a ^ b).count("1")) for g, a in rows for h, b in rows if g == h and a < b and bin(a ^ b).count("1") < 4}

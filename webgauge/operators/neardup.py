@@ -14,7 +14,7 @@ from .components import components
 
 NEAR = 4  # distances below are near
 BLOCKS = 6
-ROWS = 1_000_000  # keyed rows that one task deals out
+ROWS = 1_000_000  # keyed rows that one task deals out, and about as many of each side that it joins
 
 
 def _keys(simhash: Column, within: int, blocks: int) -> Column:
@@ -42,10 +42,14 @@ def _pairs(words: DataFrame, near: int, blocks: int, by: tuple[str, ...]) -> Dat
     """near_pairs of a table of distinct fingerprints.
 
     Its size tells nothing of the rows after the explode, so their partitions are counted here
-    (a number that adaptive execution keeps) and the join is told not to broadcast them.
+    (a number that adaptive execution keeps) and the join is told not to broadcast them: a task would
+    hold them all.  Where the session's partitions are fewer than the counted ones, so are those of the
+    join, and a task sorts about 2 * ROWS keyed rows however many there are.
     """
     slices = 1 + words.count() * comb(blocks, near - 1) // ROWS
     keyed = words.repartition(slices, "simhash").select(*by, "simhash", F.explode(_keys(F.col("simhash"), near - 1, blocks)).alias("key"))
+    if slices > int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        keyed = keyed.repartition(slices, *by, "key")
     left, right = keyed.withColumnRenamed("simhash", "a"), keyed.withColumnRenamed("simhash", "b")
     pairs = left.hint("merge").join(right, [*by, "key"]).where("a < b").withColumn("distance", distance(F.col("a"), F.col("b")))
     return pairs.where(F.col("distance") < near).select(*by, "a", "b", "distance").distinct()
